@@ -19,8 +19,9 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     first = df.select(values.alias("v")).select("v", F.posexplode("v").alias("i", "x"))
     rest = F.slice("v", F.col("i") + 1, F.lit(len(cols)))
     pairs = first.select("i", "x", F.posexplode(rest).alias("step", "y"))
-    both = pairs.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    moments = both.groupBy("i", "step").agg(
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    pairs = pairs.withColumns({"x": F.when(both, F.col("x")), "y": F.when(both, F.col("y"))})
+    moments = pairs.groupBy("i", "step").agg(
         F.covar_pop("x", "y").alias("cov"),
         (F.stddev_pop("x") * F.stddev_pop("y")).alias("scale"),
         ((F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))).alias("varies"),
