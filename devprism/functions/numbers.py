@@ -53,14 +53,23 @@ def add_up(terms: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
+UNROLL = 16  # a longer unrolled sum grows past what the JVM compiles to machine code
+
+
+def _over_pairs(a: Column, b: Column, width: int, term: Callable[[Column, Column], Column]) -> Column:
+    """Sum of ``term`` over two arrays of known width: unrolled if short, else a loop."""
+    if width <= UNROLL:
+        return add_up([term(a[i], b[i]) for i in range(width)])
+    return F.aggregate(F.zip_with(a, b, term), F.lit(0.0), lambda s, v: s + v)
+
+
 def l1_distance(a: Column, b: Column, width: int) -> Column:
-    """Manhattan distance of two arrays of known width, unrolled so that it is code-generated."""
-    return add_up([F.abs(a[i] - b[i]) for i in range(width)])
+    return _over_pairs(a, b, width, lambda u, v: F.abs(u - v))
 
 
 def l2_distance(a: Column, b: Column, width: int) -> Column:
-    return F.sqrt(add_up([(a[i] - b[i]) * (a[i] - b[i]) for i in range(width)]))
+    return F.sqrt(_over_pairs(a, b, width, lambda u, v: (u - v) * (u - v)))
 
 
 def dot(a: Column, b: Column, width: int) -> Column:
-    return add_up([a[i] * b[i] for i in range(width)])
+    return _over_pairs(a, b, width, lambda u, v: u * v)

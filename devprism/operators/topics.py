@@ -188,20 +188,20 @@ def assign_topics(vectors: DataFrame, centroids: DataFrame, id: str = "doc_id",
     """
     if not at_most(centroids, max_topics):
         raise ValueError(f"more than {max_topics} topics")
-    entry = F.struct("topic", F.col("centroid").alias("c"))
+    length = F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x))
+    entry = F.struct("topic", F.col("centroid").alias("c"), length.alias("n"))
     table = centroids.agg(F.collect_list(entry).alias("t")).scalar()
 
-    def inner(a: Column, b: Column) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-    vector = F.col("v")
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    inner = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     scored = F.transform(
         F.col("t"),
         lambda e: F.struct(
-            F.try_divide(inner(vector, e["c"]), F.sqrt(inner(vector, vector)) * F.sqrt(inner(e["c"], e["c"]))).alias("prob"),
+            F.try_divide(inner(F.col("v"), e["c"]), F.col("n") * e["n"]).alias("prob"),
             (-e["topic"]).alias("minus"),
         ),
     )
-    rows = vectors.select(id, F.col("embedding").cast("array<double>").alias("v")).withColumn("t", table)
+    rows = vectors.select(id, F.col("embedding").cast("array<double>").alias("v"))
+    rows = rows.withColumns({"n": norm(F.col("v")), "t": table})
     best = rows.select(id, F.array_max(scored).alias("best"))
     return best.select(id, (-F.col("best.minus")).alias("topic"), F.col("best.prob").alias("topic_prob"))

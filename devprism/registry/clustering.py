@@ -113,13 +113,15 @@ def nearest_embeddings(spark, sf_dir):
     sql(
         """SELECT id, neighbor, round(dist, 6) AS dist, CAST(row_number() OVER (PARTITION BY id ORDER BY dist, neighbor) AS INTEGER) AS rank
         FROM near QUALIFY rank <= 5""",
-        "commits", **AUTHOR_POINTS,
+        "commits", points=f"SELECT CAST(substr(author, 4) AS BIGINT) AS id, ns AS x, nm AS y FROM ({PAIR_MEANS})",
         near="""SELECT p.id, q.id AS neighbor, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS dist
             FROM points p JOIN points q ON p.id <> q.id""",
     ),
 )
 def nearest_authors(spark, sf_dir):
-    return rounded(neighbors.knn_join(author_points(spark, sf_dir), 5, 2, cell_rows=64))
+    means = feature_ops.author_commit_means(commits(spark, sf_dir), places=PLACES)
+    points = vectors.to_points(means, "author", PAIR).withColumn("id", F.expr("cast(substr(id, 4) as bigint)"))
+    return rounded(neighbors.knn_join(land(points, "points"), 5, 2, cell_rows=64))
 
 
 # --- density ---------------------------------------------------------------------------------
@@ -128,8 +130,8 @@ EPS, LEAST = 0.15, 10
 DENSITY = {
     **AUTHOR_POINTS,
     "near": NEAR.format(EPS),
-    "both": "SELECT a AS id, b AS other FROM near UNION ALL SELECT b, a FROM near UNION ALL SELECT id, id FROM points",
-    "core": f"SELECT id FROM both GROUP BY id HAVING count(*) >= {LEAST}",
+    "sides": "SELECT a AS id, b AS other FROM near UNION ALL SELECT b, a FROM near UNION ALL SELECT id, id FROM points",
+    "core": f"SELECT id FROM sides GROUP BY id HAVING count(*) >= {LEAST}",
 }
 
 
@@ -145,11 +147,11 @@ def core_flags(spark, sf_dir):
     "density_clusters", "M2",
     sql(
         """SELECT points.id, coalesce(min(label), -1) AS cluster FROM points LEFT JOIN
-        (SELECT both.id, label FROM both JOIN labels ON both.other = labels.id) near ON near.id = points.id
+        (SELECT sides.id, label FROM sides JOIN labels ON sides.other = labels.id) near ON near.id = points.id
         WHERE points.id NOT IN (SELECT id FROM core) GROUP BY points.id
         UNION ALL SELECT id, label FROM labels""",
         "commits", **DENSITY,
-        links="SELECT both.id, other FROM both JOIN core ON core.id = both.id WHERE other IN (SELECT id FROM core)",
+        links="SELECT sides.id, other FROM sides JOIN core ON core.id = sides.id WHERE other IN (SELECT id FROM core)",
         reach="SELECT id AS root, id AS node FROM core UNION SELECT root, other FROM reach JOIN links ON links.id = reach.node",
         labels="SELECT node AS id, min(root) AS label FROM reach GROUP BY node",
     ).replace("WITH ", "WITH RECURSIVE ", 1),
