@@ -2,39 +2,61 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from devprism.functions.numbers import l1_distance, l2_distance
+from devprism.functions.numbers import UNROLL, add_up, l1_distance, l2_distance
 from devprism.operators.vectors import distinct_points
 from devprism.runtime import broadcast_if_small, land
 
 CELL_ROWS = 4096  # a grid cell with more rows is split
 
 
-def widest_axes(points: DataFrame, width: int, count: int) -> list[int]:
-    """The coordinates with the largest spread: one aggregated row decides."""
-    row = points.agg(*[F.stddev_pop(F.col("x")[i]).alias(f"d{i}") for i in range(width)]).first()
-    return sorted(range(width), key=lambda i: (-(row[i] or 0.0), i))[: min(count, width)]
+def sign_patterns(width: int, limit: int = 8) -> list[tuple[int, ...]]:
+    """Different vectors of +1 and -1, mutually as uncorrelated as a Walsh basis."""
+    found: list[tuple[int, ...]] = []
+    for k in range(64):
+        signs = tuple(-1 if (i & k).bit_count() % 2 else 1 for i in range(width))
+        if signs not in found:
+            found.append(signs)
+    return found[:limit]
 
 
-def eps_join(points: DataFrame, eps: float, width: int, axes: list[int] | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+def signed_sum(x: Column, signs: tuple[int, ...]) -> Column:
+    """Sum of ``x`` under ``signs``; it never moves further than the Manhattan distance does."""
+    if len(signs) <= UNROLL:
+        return add_up([x[i] if s > 0 else -x[i] for i, s in enumerate(signs)])
+    weights = F.array(*[F.lit(float(s)) for s in signs])
+    return F.aggregate(F.zip_with(x, weights, lambda v, w: v * w), F.lit(0.0), lambda t, v: t + v)
+
+
+def widest(rows: DataFrame, column: str, count: int) -> list[int]:
+    """Which entries of an array column spread most, from one aggregated row."""
+    spread = [F.stddev_pop(F.col(column)[i]).alias(f"d{i}") for i in range(count)]
+    row = rows.agg(*spread).first()
+    return sorted(range(count), key=lambda i: (-(row[i] or 0.0), i))
+
+
+def eps_join(points: DataFrame, eps: float, width: int, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``(a, b, wa, wb, dist)`` with ``a < b`` for all pairs of ``points(id, x, w)`` within ``eps``.
 
-    No coordinate of a pair differs by more than its distance. So rows meet on the grid cell of the
-    widest axes and on half of the neighboring cells; the other half is the same pairs seen from the
-    other side. A crowded cell is split: its rows get one of several parts and the rows that look
-    for it visit every part, so no task holds a whole crowded cell.
+    A sum of all coordinates with any signs differs by no more than the distance, and spreads far
+    wider than one coordinate. So rows meet on the grid cell of the two or three widest such sums
+    and on half of the neighboring cells; the other half is the same pairs seen from the other
+    side. A crowded cell is split: its rows get one of several parts and the rows that look for it
+    visit every part, so no task holds a whole crowded cell. The remaining sums weed out most
+    meetings before a distance is computed.
     """
-    axes = axes or widest_axes(points, width, 2)
-    side = float(eps) * (1 + 1e-9)  # rounding must not move a neighbor two cells away
+    patterns = sign_patterns(width)
+    sums = points.select("id", "x", "w", F.array(*[signed_sum(F.col("x"), s) for s in patterns]).alias("s"))
+    axes = widest(sums, "s", len(patterns))[: min(3, len(patterns))]
+    side = float(eps) * (1 + 1e-9) + 1e-12  # rounding must not move a neighbor two cells away
     names = [f"c{i}" for i in range(len(axes))]
-    cells = {n: F.floor(F.col("x")[d] / F.lit(side)) for n, d in zip(names, axes)}
-    total = F.aggregate("x", F.lit(0.0), lambda s, v: s + v)
-    rows = points.select("id", "x", "w", total.alias("s")).withColumns(cells)
+    rows = sums.withColumns({n: F.floor(F.col("s")[d] / F.lit(side)) for n, d in zip(names, axes)})
 
     crowded = rows.groupBy(*names).agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows)
     parts = broadcast_if_small(crowded.select(*names, F.ceil(F.col("n") / cell_rows).cast("int").alias("parts")))
@@ -58,8 +80,10 @@ def eps_join(points: DataFrame, eps: float, width: int, axes: list[int] | None =
     probe = probe.join(parts, names, "left").select(
         *names, "same", "id", "x", "w", "s", F.explode(F.sequence(F.lit(0), split - 1)).alias("part")
     )
+    slack = side + 1e-9
+    close = [F.abs(F.col("s")[i] - F.col("b_s")[i]) <= slack for i in range(len(patterns))]
     near = probe.join(build, [*names, "part"]).filter(
-        (~F.col("same") | (F.col("id") < F.col("b_id"))) & (F.abs(F.col("s") - F.col("b_s")) <= side + 1e-9)
+        reduce(lambda p, q: p & q, close, ~F.col("same") | (F.col("id") < F.col("b_id")))
     )
     dist = l1_distance(F.col("x"), F.col("b_x"), width)
     first = F.col("id") < F.col("b_id")
@@ -76,19 +100,23 @@ def knn_join(points: DataFrame, k: int, width: int, cell_rows: int = CELL_ROWS)
     """``(id, neighbor, dist, rank)``: exactly ``k`` nearest other rows, ties by the lower id.
 
     1. Equal vectors are one row; only their first ``k + 1`` ids can ever be neighbors.
-    2. Along the widest axis the ``k`` rows on either side give each vector an upper bound of its
-       k-th distance.
+    2. Rows are ordered by the widest signed sum of their coordinates, scaled to unit length so
+       that it moves no further than the distance. The ``k`` rows on either side give each vector
+       an upper bound of its k-th distance.
     3. A vector then visits only the cells that its bound reaches: nothing nearer lies outside.
 
-    ``cell_rows`` sets the cells of that axis; work follows how many cells the bounds reach.
+    ``cell_rows`` sets the cells of that order; work follows how many cells the bounds reach.
     """
     vectors = land(distinct_points(points.select("id", "x")), "knn_vectors")
     lowest = Window.partitionBy("x").orderBy("id")
     first_ids = points.select("id", "x").withColumn("r", F.row_number().over(lowest)).filter(F.col("r") <= k + 1)
     copies = first_ids.groupBy("x").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
-    axis = widest_axes(vectors, width, 1)[0]
-    rows = vectors.select(F.col("id").alias("v"), "x", F.col("x")[axis].alias("p"))
+    patterns = sign_patterns(width)
+    sums = vectors.select(F.array(*[signed_sum(F.col("x"), s) for s in patterns]).alias("s"))
+    axis = patterns[widest(sums, "s", len(patterns))[0]]
+    place = signed_sum(F.col("x"), axis) / F.lit(width**0.5)
+    rows = vectors.select(F.col("id").alias("v"), "x", place.alias("p"))
     cuts = max(1, min(rows.count() // max(cell_rows, 4 * k), 4096))
     bounds = sorted(set(rows.approxQuantile("p", [i / cuts for i in range(1, cuts)], 0.25 / cuts))) if cuts > 1 else []
     splits = [float("-inf"), *bounds, float("inf")]
@@ -105,7 +133,7 @@ def knn_join(points: DataFrame, k: int, width: int, cell_rows: int = CELL_ROWS)
     others = F.filter(F.col("around"), lambda o: o["v"] != F.col("v"))
     kth = F.get(F.array_sort(F.transform(others, lambda o: l2_distance(F.col("x"), o["x"], width))), F.lit(k - 1))
     bounded = placed.withColumn("around", around).select("v", "x", "p", kth.alias("bound"))
-    reach = F.coalesce(F.col("bound") * (1 + 1e-9), F.lit(float("inf")))
+    reach = F.coalesce(F.col("bound") * (1 + 1e-9) + 1e-9, F.lit(float("inf")))
     bounded = land(bounded.withColumn("reach", reach), "knn_bounds")
 
     ends = bounded.withColumns({"lo": F.col("p") - F.col("reach"), "hi": F.col("p") + F.col("reach")})
