@@ -38,8 +38,11 @@ def clean_documents(
 ) -> DataFrame:
     """Add ``tokens`` and ``clean_text`` (null for a document that nothing is left of)."""
     words = tk.english_stop_words() if stop_words is None else list(stop_words)
-    table = None if lemmas is None else lemma_map(lemmas)
-    cleaned = df.withColumn("tokens", tk.clean_tokens(F.col(text), words, table))
+    if lemmas is None:
+        cleaned = df.withColumn("tokens", tk.clean_tokens(F.col(text), words))
+    else:
+        known = df.withColumn("_lemmas", lemma_map(lemmas))
+        cleaned = known.withColumn("tokens", tk.clean_tokens(F.col(text), words, F.col("_lemmas"))).drop("_lemmas")
     return cleaned.withColumn("clean_text", tk.min_tokens(F.col("tokens")))
 
 
