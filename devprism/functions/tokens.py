@@ -26,6 +26,7 @@ TICKET_KEYS = [
 ]
 TICKET_PATTERN = rf"^({'|'.join(TICKET_KEYS)})-\d{{1,5}}"
 LINK_PATTERN = r"^http\S+"
+DROPPED_LINES = rf"(?md)^(?:(?:{'|'.join(TICKET_KEYS)})-\d{{1,5}}[^\n]*|http[^\n]+|\p{{Nd}}+)\n"
 MIN_LENGTH, MAX_LENGTH, MIN_SHARE, MIN_TOKENS = 2, 30, 0.007, 1
 
 # Published noun suffix rules, the first that fits applies; endings that are no plural stay.
@@ -101,10 +102,11 @@ def frequency_filter(tokens: Column, share: float = MIN_SHARE) -> Column:
         runs = F.filter(ordered, lambda x, i: F.get(ordered, i + n - 1) == x)
         return let(F.array_distinct(runs), lambda often: F.filter(t, lambda x: F.array_contains(often, x)))
 
-    return let(
-        tokens,
-        lambda t: let(_smallest_count(F.size(t), share), lambda n: let(F.array_sort(t), lambda s: keep(t, s, n))),
-    )
+    def check(t: Column, n: Column) -> Column:
+        """In a short document a single occurrence is enough, so nothing is sorted."""
+        return F.when(n <= 1, t).otherwise(let(F.sort_array(t), lambda s: keep(t, s, n)))
+
+    return let(tokens, lambda t: let(_smallest_count(F.size(t), share), lambda n: check(t, n)))
 
 
 def min_tokens(tokens: Column, fewest: int = MIN_TOKENS) -> Column:
@@ -113,7 +115,14 @@ def min_tokens(tokens: Column, fewest: int = MIN_TOKENS) -> Column:
 
 
 def clean_tokens(text: Column, stop_words: Sequence[str], lemmas: Column | None = None) -> Column:
-    tokens = strip_punct_drop_digits(drop_urls(drop_ticket_ids(tokenize(text))))
+    """All steps in their order; the first three as passes over the whole document.
+
+    Tokens hold no line break, so one token per line lets a single expression drop tickets, links
+    and numbers and another one strip signs, instead of a match per token.
+    """
+    lines = F.concat(F.array_join(tokenize(text), "\n"), F.lit("\n"))
+    kept = F.regexp_replace(F.regexp_replace(lines, DROPPED_LINES, ""), PUNCTUATION_PATTERN, "")
+    tokens = F.split(kept, "\n")  # the empty piece behind the last line falls to the length filter
     tokens = length_filter(lemmatize(drop_stopwords(tokens, stop_words), lemmas))
     return frequency_filter(tokens)
 
@@ -123,11 +132,32 @@ def terms_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TERM_PATTERN), F.lit(0)), F.array().cast("array<string>"))
 
 
+def _pairs(t: Column) -> Column:
+    rest = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.zip_with(F.slice(t, F.lit(1), rest), F.slice(t, F.lit(2), rest), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def bigrams(tokens: Column) -> Column:
-    rest = F.greatest(F.size(tokens) - 1, F.lit(0))
-    return F.zip_with(F.slice(tokens, F.lit(1), rest), F.slice(tokens, F.lit(2), rest), lambda a, b: F.concat_ws(" ", a, b))
+    return let(tokens, _pairs)
 
 
 def ngrams(tokens: Column) -> Column:
     """Single tokens, then pairs of neighbors."""
-    return F.concat(tokens, bigrams(tokens))
+    return let(tokens, lambda t: F.concat(t, _pairs(t)))
+
+
+def term_counts(terms: Column) -> Column:
+    """``array<struct<term, n>>`` of a document, counted inside the row; null if it has no terms.
+
+    In the sorted array a term's count is the distance between two starts.
+    """
+
+    def runs(s: Column, starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(s)))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(s, a).alias("term"), (b - a).alias("n")))
+
+    def count(s: Column) -> Column:
+        starts = F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i))
+        return let(F.filter(starts, lambda i: i.isNotNull()), lambda found: runs(s, found))
+
+    return let(F.sort_array(terms), lambda s: F.when(F.size(s) > 0, count(s)))

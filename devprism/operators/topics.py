@@ -7,21 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from devprism.operators.text import vocabulary
+from devprism.functions.tokens import term_counts
 from devprism.runtime import at_most
 
 OUTLIER = -1
 
 
-def class_counts(docs: DataFrame, min_df: int = 10, scope: str = "documents") -> DataFrame:
-    """``(topic, term, tf)`` over ``docs(doc_id, topic, terms)``, rare terms left out.
+def class_counts(docs: DataFrame) -> DataFrame:
+    """``(topic, term, tf, docs)`` over ``docs(doc_id, topic, terms)``.
 
-    Counts are combined map-side before they are shuffled, so a topic that holds most documents
-    costs no more than its number of different terms.
+    A document's terms are counted inside its row and combined map-side, so a topic that holds
+    most documents costs no more than its number of different terms.
     """
-    rows = docs.select("topic", F.explode("terms").alias("term"))
-    counts = rows.groupBy("topic", "term").agg(F.count("*").alias("tf"))
-    return counts if min_df <= 1 else counts.join(vocabulary(docs, min_df, scope), "term", "left_semi")
+    rows = docs.select("topic", F.inline(term_counts(F.col("terms"))))
+    return rows.groupBy("topic", "term").agg(F.sum("n").alias("tf"), F.count("*").alias("docs"))
 
 
 def _share(tf: Column, n: Column, reduce_frequent: bool) -> Column:
@@ -37,17 +36,20 @@ def class_tfidf(
     scope: str = "documents",
 ) -> DataFrame:
     """``(topic, term, tf, idf, score)``: the share of a term in its topic times its class idf."""
-    counts = class_counts(docs, min_df, scope)
+    # A term has at most one row per topic, so this window group is never large. A document has
+    # one topic, so adding up over topics gives the document frequency.
+    per_term = Window.partitionBy("term")
+    spread = {"documents": F.sum("docs").over(per_term), "classes": F.count("*").over(per_term)}
+    counts = class_counts(docs).withColumns({"f": F.sum("tf").over(per_term), "df": spread[scope]})
+    counts = counts.filter(F.col("df") >= min_df)
     sizes = counts.groupBy("topic").agg(F.sum("tf").alias("n"))
     words_per_class = sizes.agg(F.floor(F.avg("n")).cast("double")).scalar()
-    # A term has at most one row per topic, so this window group is never large.
-    with_total = counts.withColumn("f", F.sum("tf").over(Window.partitionBy("term")))
     f = F.col("f").cast("double")
     if bm25:
         idf = F.ln(F.lit(1.0) + (words_per_class - f + F.lit(0.5)) / (f + F.lit(0.5)))
     else:
         idf = F.ln(F.lit(1.0) + words_per_class / f)
-    weighted = with_total.join(sizes, "topic").withColumn("idf", idf)
+    weighted = counts.join(sizes, "topic").withColumn("idf", idf)
     score = _share(F.col("tf"), F.col("n"), reduce_frequent) * F.col("idf")
     return weighted.select("topic", "term", "tf", "idf", score.alias("score"))
 
@@ -102,9 +104,9 @@ def topic_similarity(scores: DataFrame) -> DataFrame:
 def outlier_scores(docs: DataFrame, scores: DataFrame, reduce_frequent: bool = False) -> DataFrame:
     """Cosine of each outlier document to each topic it shares a term with."""
     idf = scores.groupBy("term").agg(F.first("idf").alias("idf"))
-    rows = docs.filter(F.col("topic") == OUTLIER).select("doc_id", F.explode("terms").alias("term"))
-    counts = rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    tf = F.col("tf").cast("double")
+    outliers = docs.filter(F.col("topic") == OUTLIER)
+    counts = outliers.select("doc_id", F.inline(term_counts(F.col("terms"))))
+    tf = F.col("n").cast("double")
     weight = (F.sqrt(tf) if reduce_frequent else tf) * F.col("idf")
     weighted = counts.join(idf, "term").select("doc_id", "term", weight.alias("x"))
     doc_norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nd"))

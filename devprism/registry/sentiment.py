@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from devprism.operators import sentiment as ops, text as text_ops, topicfit
 from devprism.registry.core import query
 from devprism.registry.tables import SQL_TABLES, comment_sentiment, sql, table
-from devprism.runtime import land, shared_folder
+from devprism.runtime import land, shared_folder, spread
 from devprism.sources import stages as st
 
 CODE = "CASE sentiment WHEN 'negative' THEN 0 WHEN 'positive' THEN 2 ELSE 1 END"
@@ -200,7 +200,7 @@ def sentiment_runs(spark, sf_dir):
 
 
 def text_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text")), "doc_id")
     return land(text_ops.clean_documents(docs), "text_documents")
 
 

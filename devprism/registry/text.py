@@ -14,7 +14,7 @@ from devprism.functions import tokens as tk
 from devprism.operators import coherence, text as text_ops, topics as ops
 from devprism.registry.core import query
 from devprism.registry.tables import sql, table
-from devprism.runtime import land
+from devprism.runtime import land, spread
 
 
 @lru_cache
@@ -28,7 +28,7 @@ def stop_words() -> list[str]:
 
 
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
 
 
 # --- the cleaning steps ----------------------------------------------------------------------

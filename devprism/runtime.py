@@ -53,3 +53,13 @@ def at_most(df: DataFrame, rows: int) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """Broadcast hint behind a row count; above the bound the join shuffles as usual."""
     return F.broadcast(df) if at_most(df, rows) else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition rows by ``key`` if their input has fewer files than there are cores.
+
+    For work that costs much per row on a few large row groups. A table of many files is already
+    spread by its scan and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
