@@ -102,8 +102,17 @@ def join_responses(df: DataFrame, responses: DataFrame, call_col: str, into: str
 
 
 def join_issue_comments(issues: DataFrame, comments: DataFrame) -> DataFrame:
-    """One row per issue and comment; issues without comments and comments without an issue stay."""
-    return issues.join(comments, issues["issue_call"] == comments["issue_url"], "full_outer")
+    """One row per issue and comment; issues without comments and comments without an issue stay.
+
+    Written as a left join from the comments plus the issues nobody commented on: one issue may
+    hold a large part of all comments, and Spark splits such a key in a left join at run time but
+    not in a full outer one.
+    """
+    with_issue = comments.join(issues, issues["issue_call"] == comments["issue_url"], "left")
+    commented = comments.select(F.col("issue_url").alias("_url")).distinct()
+    silent = issues.join(commented, issues["issue_call"] == F.col("_url"), "left_anti")
+    both = with_issue.unionByName(silent, allowMissingColumns=True)
+    return both.select(*issues.columns, *comments.columns)
 
 
 def attach_columns(df: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -293,7 +293,7 @@ def topic_diversity(spark, sf_dir):
     ),
 )
 def topic_similarity(spark, sf_dir):
-    return rounded(ops.topic_similarity(class_scores(spark, sf_dir)), 6)
+    return rounded(ops.topic_similarity(land(class_scores(spark, sf_dir), "scores")), 6)
 
 
 @query(
@@ -314,8 +314,8 @@ def topic_similarity(spark, sf_dir):
     ),
 )
 def reduced_outliers(spark, sf_dir):
-    docs = topic_docs(spark, sf_dir)
-    return ops.reduce_outliers(docs, ops.class_tfidf(docs), threshold=0.1)
+    docs = land(topic_docs(spark, sf_dir), "topic_docs")
+    return ops.reduce_outliers(docs, land(ops.class_tfidf(docs), "scores"), threshold=0.1)
 
 
 def coherence_sql(window: int | None, body: str) -> str:
@@ -400,5 +400,5 @@ def topic_assignment(spark, sf_dir):
 
 @query("merged_topics", "K5")
 def merged_topics(spark, sf_dir):
-    docs = topic_docs(spark, sf_dir)
-    return ops.merge_topics(docs.select("doc_id", "topic"), ops.class_tfidf(docs), nr_topics=3)
+    docs = land(topic_docs(spark, sf_dir), "topic_docs")
+    return ops.merge_topics(docs.select("doc_id", "topic"), land(ops.class_tfidf(docs), "scores"), nr_topics=3)
