@@ -61,7 +61,7 @@ def main() -> None:
             text = text() if callable(text) else text
             if text:
                 start = time.perf_counter()
-                db.execute(text).fetch_arrow_table()
+                db.execute(text).to_arrow_table()
                 result["duckdb"][name] = round(time.perf_counter() - start, 3)
     spark.stop()
     print(json.dumps(result), flush=True)
