@@ -36,7 +36,8 @@ COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in feature_ops.COMMIT_FEATURES)
 
 def matrices(spark: SparkSession, sf_dir: str):
     commit = feature_ops.author_commit_features(commits(spark, sf_dir), places=PLACES)
-    return vectors.load_matrices(author_features(spark, sf_dir), commit)
+    # Scaling reads its input twice: once for the moments, once for the rows.
+    return vectors.load_matrices(land(author_features(spark, sf_dir), "all"), land(commit, "commits"))
 
 
 @query("standardized_features", "P21 M1", sql_scaled(AUTHOR_ALL, ALL_FEATURES))
