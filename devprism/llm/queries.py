@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from devprism.llm import langid, leaks, metric, mixing, neardup, privacy, repeats, secrets, toxicity
+from devprism.llm import langid, leaks, metric, mixing, neardup, passages, privacy, repeats, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,12 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(table(spark, sf_dir, "documents"))
 
 
+@register
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate passages of 50 words and more, each with its place in two documents."""
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
 @register
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without the 100-byte strings that start earlier too."""
