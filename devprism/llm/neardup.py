@@ -5,10 +5,12 @@ offers ``j + u`` to one component. Offers only grow, so a document stops at the
 no longer lower any of its components. Compared with independent hashes the components of one element
 are spread without repeats, which lowers the variance of the estimate.
 
-Documents with equal sets are one class. Bands of class signatures make buckets; every member of a bucket
-is verified against its first and last member, links are grouped, and then every pair of a bucket
-that is still in two groups is verified too. So no candidate link between different texts is lost, and
-no group is expanded into all its pairs.
+Documents with equal sets are one class. Bands of class signatures make buckets, and the buckets with one
+first member make its family. Sets of a family meet in blocks of bounded size, where an inverted list
+finds all links and union-find keeps those that join groups. Families of several blocks go on: members
+outside the family's main group meet all its other members, again block by block. So every
+candidate pair that could still join two groups is verified on full sets, and only links of a forest
+leave a task.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ class Settings:
     #: Bands and rows per band: a pair at 80 % misses all bands with probability 0.5904**28 < 4e-7.
     bands: int = 28
     rows: int = 4
-    #: Members per task when a first member's links are verified.
-    salt_rows: int = 256
+    #: Members of a family whose sets meet in one task.
+    block_rows: int = 512
     #: Elements that are permuted at once.
     chunk: int = 200_000
 
@@ -133,30 +135,44 @@ def _numbers(settings: Settings):
     return run
 
 
-def _verify(settings: Settings):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        heads = group["sid"].map(bytes) == group["head"].map(bytes)
-        head = group.loc[heads].iloc[0]
-        mine = head["codes"].view(np.uint64)
-        linked = []
-        for sid, codes in zip(group.loc[~heads, "sid"], group.loc[~heads, "codes"]):
-            codes = codes.view(np.uint64)
-            spot = np.minimum(np.searchsorted(mine, codes), len(mine) - 1)
-            shared = int((mine[spot] == codes).sum())
-            if 100 * shared >= settings.percent * (len(mine) + len(codes) - shared):
-                linked.append(sid)
-        return pd.DataFrame({"u": linked, "v": [head["head"]] * len(linked)})
+def _forest(settings: Settings):
+    """Links that join groups, among the sets of one block: rows of side 0 meet all, sides 1 and 2 each other."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        sets = [c.view(np.uint64) for c in block["codes"]]
+        side = block["side"].to_numpy()
+        sizes = np.array([len(s) for s in sets])
+        codes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(codes, kind="stable")
+        codes, owner = codes[order], owner[order]
+        labels = pd.factorize(block["label"].map(bytes))[0]
+        group = {int(g): int(g) for g in labels}
+
+        def root(g: int) -> int:
+            while group[g] != g:
+                group[g] = group[group[g]]
+                g = group[g]
+            return g
+
+        links = []
+        for i in np.flatnonzero(side < 2):
+            left, right = np.searchsorted(codes, sets[i]), np.searchsorted(codes, sets[i], "right")
+            count = right - left
+            place = np.repeat(left - np.cumsum(count) + count, count) + np.arange(count.sum())
+            shared = np.bincount(owner[place], minlength=len(sets))
+            alike = np.flatnonzero(100 * shared >= settings.percent * (sizes + sizes[i] - shared))
+            for j in alike:
+                if j != i and (side[i] == 0 or side[j] != side[i]) and (a := root(int(labels[i]))) != (b := root(int(labels[j]))):
+                    group[b] = a
+                    links.append((block["sid"].iloc[i], block["sid"].iloc[j]))
+        return pd.DataFrame(links, columns=["u", "v"])
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """Links ``(u, v)`` among ``pairs(head, sid)``: a head's set travels once per ``salt_rows`` of its members."""
-    many = pairs.groupBy("head").agg(F.ceil(F.count("*") / settings.salt_rows).alias("salts"))
-    dealt = pairs.join(many, "head").withColumn("salt", F.pmod(F.xxhash64("sid"), "salts"))
-    heads = many.select("head", F.col("head").alias("sid"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
-    rows = dealt.select("head", "sid", "salt").unionByName(heads).join(sets, "sid")
-    return rows.groupBy("head", "salt").applyInPandas(_verify(settings), "u binary, v binary")
+def _met(rows: DataFrame, sets: DataFrame, settings: Settings, *key: str) -> DataFrame:
+    """Forest links of blocks ``rows(*key, sid, label, side)``."""
+    return rows.join(sets, "sid").groupBy(*key).applyInPandas(_forest(settings), "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -172,19 +188,22 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     full = signed.filter("sid is not null")
     classes = land(full.groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "classes")
     placed = classes.select("sid", F.explode("bands").alias("band"))
-    ends = placed.groupBy("band").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low < high")
-    members = land(placed.join(ends, "band"), "bucket_members")
-    stars = members.select(F.col("low").alias("head"), "sid").unionByName(members.select(F.col("high").alias("head"), "sid"))
-    stars = land(stars.filter("head <> sid").distinct(), "star_pairs")
+    heads = placed.groupBy("band").agg(F.min("sid").alias("head"), F.max("sid").alias("last")).filter("head < last").drop("last")
+    members = land(placed.join(heads, "band").select("head", "sid").distinct(), "families")
     wanted = members.select("sid").distinct().join(classes.select("sid", "first_id"), "sid")
     texts = rows.join(wanted.withColumnRenamed("first_id", "doc_id"), "doc_id").select("sid", "text")
     sets = texts.mapInPandas(_numbers(settings), "sid binary, codes array<bigint>")
     unnamed = wanted.filter("first_id is null")  # a class whose rows all lack an id
     loose = rows.filter("doc_id is null").mapInPandas(_sign_only(settings), "sid binary, codes array<bigint>").join(unnamed.select("sid"), "sid", "left_semi")
     sets = land(sets.unionByName(loose).groupBy("sid").agg(F.first("codes").alias("codes")), "sets")
-    links = land(verified(stars, sets, settings), "star_links")
+    sizes = members.groupBy("head").agg(F.ceil(F.count("*") / settings.block_rows).alias("blocks"))
+    dealt = members.join(sizes, "head").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks")).withColumn("label", F.col("sid"))
+    inside = dealt.filter("sid <> head").unionByName(
+        sizes.select("head", F.col("head").alias("sid"), "blocks", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.col("head").alias("label"))
+    )  # the head meets every block of its family
+    links = land(_met(inside.withColumn("side", F.lit(0)), sets, settings, "head", "block"), "links")
     labels = _labels(links)
-    more = land(verified(_across(members, labels), sets, settings), "cross_links")
+    more = land(_met(_across(dealt.filter("blocks > 1").drop("label"), labels, settings), sets, settings, "head", "stray_block", "block"), "cross_links")
     if not more.isEmpty():
         labels = _labels(links.unionByName(more))
     named = classes.select("sid", "first_id").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
@@ -211,18 +230,18 @@ def _labels(links: DataFrame) -> DataFrame:
     return land(connected_components(edges).select(F.col("id").alias("sid"), "label"), "labels")
 
 
-def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs ``(head, sid)`` of a bucket that are in two groups and were not compared yet.
-
-    The head is a member outside the group of the bucket's first member, so a bucket of one group
-    yields nothing, and one with few strays yields strays times members.
-    """
-    named = members.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    lead = named.filter("sid = low").select("band", F.col("label").alias("lead"))
-    inner = named.filter("sid <> low and sid <> high").join(lead, "band").select("band", "sid", "label", "lead")
-    strays = inner.filter("label <> lead").select("band", F.col("sid").alias("head"), F.col("label").alias("own"))
-    met = inner.join(strays, "band").filter("label <> own and (label = lead or head < sid)")
-    return land(met.select("head", "sid").distinct(), "cross_pairs")
+def _across(dealt: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """Blocks of large families in which members outside the main group (side 1) meet all members (side 2)."""
+    named = land(dealt.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")), "large_families")
+    per = named.groupBy("head", "label").agg(F.count("*").alias("n"))
+    main = per.groupBy("head").agg(F.max(F.struct("n", "label")).alias("m")).select("head", F.col("m.label").alias("main"))
+    strays = named.join(main, "head").filter("label <> main").drop("main", "blocks", "block")
+    many = strays.groupBy("head").agg(F.ceil(F.count("*") / settings.block_rows).alias("stray_blocks"))
+    strays = strays.join(many, "head").withColumn("stray_block", F.pmod(F.xxhash64("sid", F.lit(1)), "stray_blocks")).drop("stray_blocks")
+    blocks = dealt.select("head", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")).distinct()
+    ones = strays.join(blocks, "head").withColumn("side", F.lit(1))
+    twos = named.drop("blocks").join(many, "head").withColumn("stray_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("stray_blocks") - 1)))
+    return ones.unionByName(twos.drop("stray_blocks").withColumn("side", F.lit(2)))
 
 
 def one_of_each(docs: DataFrame, decided: DataFrame) -> DataFrame:
