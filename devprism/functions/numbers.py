@@ -27,12 +27,12 @@ def fixed_point(x: Column, places: int) -> Column:
 def total(x: Column, places: int | None = None) -> Column:
     """Sum with null groups as 0.
 
-    With ``places`` the addends are whole units summed as bigint, so the result does not depend
-    on the order of rows; without it this is the plain floating sum.
+    With ``places`` the addends are whole units summed as decimals of 38 digits, so the result does not
+    depend on the order of rows and no key is too hot for it; without it this is the plain floating sum.
     """
     if places is None:
         return F.coalesce(F.sum(x.cast("double")), F.lit(0.0))
-    units = F.coalesce(F.sum(fixed_point(x.cast("double"), places)), F.lit(0))
+    units = F.coalesce(F.sum(fixed_point(x.cast("double"), places).cast("decimal(20,0)")), F.lit(0))
     return units.cast("double") / F.lit(float(10**places))
 
 
@@ -40,7 +40,7 @@ def mean(x: Column, places: int | None = None) -> Column:
     """Mean of the non-null values; null for a group without any."""
     if places is None:
         return F.avg(x.cast("double"))
-    units = F.sum(fixed_point(x.cast("double"), places)).cast("double")
+    units = F.sum(fixed_point(x.cast("double"), places).cast("decimal(20,0)")).cast("double")
     return F.try_divide(units, F.lit(float(10**places)) * F.count(x))
 
 

@@ -87,15 +87,15 @@ def distinct_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFra
 def join_responses(df: DataFrame, responses: DataFrame, call_col: str, into: str = "details") -> DataFrame:
     """Attach the landed answer to each call; a call that failed or never ran reads NOT FOUND.
 
-    Rows without a call stay null and take no part in the shuffle's hot null key: each gets a
+    Only good answers that hold a body reach the join. A call that landed more than once counts once:
+    its last answer by ``landed_at`` if the table has that column, else the greatest body. Rows without a call stay null and take no part in the shuffle's hot null key: each gets a
     key of its own that matches nothing.
     """
     own = F.concat(F.lit("no call "), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("string"))
     left = df.withColumn("_call", F.coalesce(F.col(call_col), own))
-    right = responses.select(
-        F.col("call").alias("_call"),
-        F.when(F.col("status") == 200, F.col("body")).alias("_body"),
-    )
+    good = responses.filter((F.col("status") == 200) & F.col("call").isNotNull() & F.col("body").isNotNull())
+    order = F.struct("landed_at", "body") if "landed_at" in responses.columns else F.col("body")
+    right = good.groupBy(F.col("call").alias("_call")).agg(F.max_by("body", order).alias("_body"))
     body = F.coalesce(F.col("_body"), F.lit(records.NOT_FOUND))
     joined = left.join(right, "_call", "left")
     return joined.withColumn(into, F.when(F.col(call_col).isNotNull(), body)).drop("_call", "_body")

@@ -102,19 +102,24 @@ def topic_similarity(scores: DataFrame) -> DataFrame:
 
 
 def outlier_scores(docs: DataFrame, scores: DataFrame, reduce_frequent: bool = False) -> DataFrame:
-    """Cosine of each outlier document to each topic it shares a term with."""
-    idf = scores.groupBy("term").agg(F.first("idf").alias("idf"))
-    outliers = docs.filter(F.col("topic") == OUTLIER)
-    counts = outliers.select("doc_id", F.inline(term_counts(F.col("terms"))))
+    """Cosine of each outlier document to each topic it shares a term with.
+
+    A term is one row with its weight and its score in every topic, so the documents' terms meet it in
+    one join. The document's own norm is summed beside the topics, under the label of no topic.
+    """
+    y = F.when(F.col("topic") > OUTLIER, F.col("score"))
+    terms = scores.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.when(y.isNotNull(), F.struct("topic", y.alias("y")))).alias("in_topics"))
+    counts = docs.filter(F.col("topic") == OUTLIER).select("doc_id", F.inline(term_counts(F.col("terms"))))
     tf = F.col("n").cast("double")
     weight = (F.sqrt(tf) if reduce_frequent else tf) * F.col("idf")
-    weighted = counts.join(idf, "term").select("doc_id", "term", weight.alias("x"))
-    doc_norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nd"))
-    real = scores.filter(F.col("topic") > OUTLIER).select("term", "topic", F.col("score").alias("y"))
-    norms = real.groupBy("topic").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("nt"))
-    dots = weighted.join(real, "term").groupBy("doc_id", "topic").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    weighted = counts.join(terms, "term").select("doc_id", weight.alias("x"), "in_topics")
+    own = F.array(F.struct(F.lit(None).cast(scores.schema["topic"].dataType).alias("topic"), F.col("x").alias("y")))
+    parts = weighted.select("doc_id", "x", F.inline(F.concat(own, "in_topics")))
+    dots = parts.groupBy("doc_id", "topic").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    per = dots.groupBy("doc_id").agg(F.sqrt(F.max(F.when(F.col("topic").isNull(), F.col("dot")))).alias("nd"), F.collect_list(F.when(F.col("topic").isNotNull(), F.struct("topic", "dot"))).alias("dots"))
+    norms = scores.filter(F.col("topic") > OUTLIER).groupBy("topic").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("nt"))
     cosine = F.try_divide(F.col("dot"), F.col("nd") * F.col("nt"))
-    return dots.join(doc_norms, "doc_id").join(norms, "topic").select("doc_id", "topic", cosine.alias("cosine"))
+    return per.select("doc_id", "nd", F.inline("dots")).join(norms, "topic").select("doc_id", "topic", cosine.alias("cosine"))
 
 
 def reduce_outliers(

@@ -43,7 +43,7 @@ def mine_issues(tree: ProjectTree, responses: DataFrame) -> DataFrame:
     pages = responses.filter("status = 200").select(
         F.regexp_replace("call", r"\?.*$", "").alias("_asked"), F.col("body").alias("comments")
     )
-    comments = mining.explode_comments(pages.join(asked, "_asked", "left_semi"))
+    comments = land(mining.explode_comments(pages.join(asked, "_asked", "left_semi")), "comments")
     both = mining.join_issue_comments(fields, comments)
     return mining.project_columns(both, mining.ISSUE_TABLE)
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from devprism.operators import sentiment as ops, text as text_ops, topicfit
@@ -209,7 +212,9 @@ def document_vectors(spark, sf_dir):
     """The four vector variants, saved and read back one variant at a time."""
     stages = st.Stages(spark, f"{shared_folder(spark)}/devprism/vectors-{spark.sparkContext.applicationId}")
     st.write_embeddings(stages, topicfit.four_variants(text_documents(spark, sf_dir)))
-    return st.read_embeddings(stages, "small_clean").select("doc_id", F.size("embedding").alias("width"))
+    names = ["small_clean", "small_raw", "large_clean", "large_raw"]
+    read = [st.read_embeddings(stages, n).select("doc_id", F.lit(n).alias("variant"), F.size("embedding").alias("width")) for n in names]
+    return reduce(DataFrame.unionByName, read)
 
 
 @query(

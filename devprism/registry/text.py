@@ -127,9 +127,9 @@ def base_forms(spark, sf_dir):
 
 
 def lemma_table(spark, sf_dir):
-    """A lemma table out of the data: every part name's words, each with its first four letters."""
+    """A lemma table out of the data: all words of part names and documents, each with its first four letters."""
     names = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("form"))
-    regions = table(spark, sf_dir, "documents").select(F.explode(F.slice(tk.tokenize(F.col("text")), 1, 3)).alias("form"))
+    regions = table(spark, sf_dir, "documents").select(F.explode(tk.tokenize(F.col("text"))).alias("form"))
     forms = names.union(regions).filter(F.length("form") > 4).distinct()
     return forms.select("form", F.substr("form", F.lit(1), F.lit(4)).alias("lemma"))
 
@@ -143,7 +143,7 @@ def lemma_table(spark, sf_dir):
         (SELECT doc_id, unnest(t) AS form, generate_subscripts(t, 1) AS pos FROM stopped) USING (doc_id)
         LEFT JOIN (SELECT DISTINCT form, substr(form, 1, 4) AS lemma FROM (
             SELECT unnest(string_split(p_name, ' ')) AS form FROM part
-            UNION ALL SELECT unnest(t[1:3]) FROM tokenized) WHERE length(form) > 4) USING (form)
+            UNION ALL SELECT unnest(t) FROM tokenized) WHERE length(form) > 4) USING (form)
         GROUP BY doc_id""",
     ),
 )

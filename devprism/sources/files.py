@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from devprism.functions.numbers import nan_to_null
 from devprism.operators.features import MEAN_METRICS
 from devprism.operators.mining import drop_index_columns
 
 # The endings of the four files a project consists of, and their separators.
 KINDS = {"commitsID.csv": "\t", "input.csv": ",", "input_EB.csv": ",", "failures.csv": "\t"}
-METRIC_TYPES = {m: "double" for m in MEAN_METRICS}
 
 
 def read_delimited(
@@ -70,23 +71,55 @@ def project_folders(spark: SparkSession, root: str) -> DataFrame:
     return complete.filter(F.col("kinds") == len(KINDS)).select("folder")
 
 
+def _headers(spark: SparkSession, root: str, ending: str, complete: DataFrame) -> list[tuple[str, list[str]]]:
+    """Each different first line of the complete projects' files of one kind, with the files that have it.
+
+    One row per project file reaches the driver, as many as there are projects to name in a scan.
+    """
+    lines = spark.read.options(recursiveFileLookup=True, pathGlobFilter=f"*{ending}").text(root)
+    named = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+    first = named.filter("at = 0").groupBy("path").agg(F.first("value").alias("header"))
+    folder = F.regexp_replace("path", "/[^/]*$", "").alias("folder")
+    kept = first.select("path", "header", folder).join(complete, "folder", "left_semi")
+    grouped = kept.groupBy("header").agg(F.collect_list("path").alias("paths")).orderBy("header")
+    return [(r["header"], r["paths"]) for r in grouped.collect()]
+
+
+def clean_metrics(df: DataFrame) -> DataFrame:
+    """Metrics as numbers: ``fix`` and ``bug`` may be written as words or digits, NaN means no value."""
+
+    def number(name: str) -> Column:
+        word = F.lower(F.trim(F.col(name).cast("string")))
+        return F.when(word == "true", 1.0).when(word == "false", 0.0).otherwise(word.try_cast("double"))
+
+    named = {c: number(c) for c in (*MEAN_METRICS, "fix") if c in df.columns}
+    df = nan_to_null(df.withColumns(named), list(named)) if named else df
+    return df.withColumn("bug", number("bug").cast("int")) if "bug" in df.columns else df
+
+
 def read_project_tree(spark: SparkSession, root: str) -> ProjectTree:
-    """Read each kind of file in one multi-file scan and keep the complete projects."""
-    folders = project_folders(spark, root)
+    """Read each kind of file and keep the complete projects.
 
-    def read(ending: str, types: dict[str, str]) -> DataFrame:
-        df = read_delimited(
-            spark, root, KINDS[ending], types, False, recursiveFileLookup=True, pathGlobFilter=f"*{ending}"
-        ).withColumn("folder", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
-        project = F.regexp_extract("folder", "([^/]+)$", 1)
-        return df.join(folders, "folder", "left_semi").withColumn("project", project).drop("folder")
+    Projects may order their columns differently or lack some: files with the same header line are one
+    scan, and the scans are put together by column name.
+    """
+    folders = project_folders(spark, root)
 
-    change = {**METRIC_TYPES, "bug": "int"}
-    failures = read("failures.csv", {})
-    names = "issue.names" if "issue.names" in failures.columns else "issue_names"
+    def read(ending: str) -> DataFrame:
+        parts = []
+        for _, paths in _headers(spark, root, ending, folders):
+            reader = spark.read.options(header=True, sep=KINDS[ending], escape='"')
+            rows = drop_index_columns(reader.csv(paths)).withColumn("_path", F.col("_metadata.file_path"))
+            parts.append(rows.withColumn("project", F.regexp_extract("_path", "([^/]+)/[^/]*$", 1)).drop("_path"))
+        if not parts:
+            return spark.createDataFrame([], "project string, transactionid string, `issue.names` string")
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    failures = read("failures.csv")
+    names = [F.col(f"`{c}`") for c in ("issue.names", "issue_names") if c in failures.columns]
     return ProjectTree(
-        read("commitsID.csv", {}),
-        read("input.csv", change),
-        read("input_EB.csv", change),
-        failures.select("project", F.col(f"`{names}`").alias("issue_names")),
+        read("commitsID.csv"),
+        clean_metrics(read("input.csv")),
+        clean_metrics(read("input_EB.csv")),
+        failures.select("project", F.coalesce(*names).alias("issue_names")),
     )

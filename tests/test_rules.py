@@ -115,7 +115,7 @@ def test_comment_arrays_are_empty_without_comments(spark):
 
 def test_responses(spark):
     df = spark.createDataFrame([(1, "u"), (2, "gone"), (3, "never"), (4, None)], "id int, call string")
-    landed = spark.createDataFrame([("u", 200, "{}"), ("gone", 404, "x")], "call string, status int, body string")
+    landed = spark.createDataFrame([("u", 200, "{}"), ("u", 200, "{}"), ("gone", 404, "x")], "call string, status int, body string")
     joined = mining.join_responses(df, landed, "call")
     assert sorted(values(joined, "id", "details")) == [(1, "{}"), (2, "NOT FOUND"), (3, "NOT FOUND"), (4, None)]
     assert sorted(values(mining.drop_not_found(joined), "id")) == [(1,), (4,)]

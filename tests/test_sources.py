@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from devprism.functions import numbers
 from devprism.operators import mining
 from devprism.sources import files, stages as st
 
@@ -34,6 +35,28 @@ def test_only_complete_projects_are_read(spark, tree):
     assert not [c for c in found.commit_ids.columns if c.startswith("_c")]
 
 
+def test_projects_differ_in_columns_and_spelling(spark, tmp_path):
+    """Columns are matched by name, true and false are numbers, NaN and empty metrics are missing."""
+
+    def project(name, metrics):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "commitsID.csv").write_text("transactionid\tcommit\n1\taaa\n2\tbbb\n")
+        for kind in ("input.csv", "input_EB.csv"):
+            (tmp_path / name / kind).write_text(metrics)
+        (tmp_path / name / "failures.csv").write_text("issue.names\nX-1\n")
+
+    project("HBase", "transactionid,ns,nm,fix,bug\n1,10,20,True,1\n2,NaN,,false,0\n")
+    project("Pig", "transactionid,nm,ns,bug,fix\n1,20,10,True,0\n2,2,1,False,1\n")
+    bug = files.read_project_tree(spark, str(tmp_path)).bug
+    rows = {(r.project, r.transactionid): (r.ns, r.nm, r.fix, r.bug) for r in bug.collect()}
+    assert rows == {
+        ("HBase", "1"): (10.0, 20.0, 1.0, 1), ("HBase", "2"): (None, None, 0.0, 0),
+        ("Pig", "1"): (10.0, 20.0, 0.0, 1), ("Pig", "2"): (1.0, 2.0, 1.0, 0),
+    }
+    sums = bug.groupBy("project").agg(numbers.total(F.col("fix")).alias("fix"), numbers.total(F.col("bug")).alias("bug"))
+    assert {tuple(r) for r in sums.collect()} == {("HBase", 1.0, 1.0), ("Pig", 1.0, 1.0)}
+
+
 def test_quoted_bodies_over_several_lines(spark, tmp_path):
     path = tmp_path / "gold.csv"
     path.write_text('ID;Polarity;Text\n1;positive;"line1\n""q"" two; x"\n2;negative;plain\n')
