@@ -188,9 +188,12 @@ def topic_centroids(vectors: DataFrame, assigned: DataFrame, width: int, id: str
     return members.groupBy("topic").agg(F.array(*means).alias("centroid"))
 
 
-def assign_topics(vectors: DataFrame, centroids: DataFrame, id: str = "doc_id", max_topics: int = 2000) -> DataFrame:
+def assign_topics(
+    vectors: DataFrame, centroids: DataFrame, id: str = "doc_id", max_topics: int = 2000, min_prob: float | None = None
+) -> DataFrame:
     """``(id, topic, topic_prob)``: the centroid with the highest cosine, the lower topic on a tie.
 
+    A document whose cosine stays below ``min_prob``, or has none, is an outlier and gets -1.
     The centroids travel as one array value (their number is checked), so no join is needed.
     """
     if not at_most(centroids, max_topics):
@@ -211,4 +214,7 @@ def assign_topics(vectors: DataFrame, centroids: DataFrame, id: str = "doc_id",
     rows = vectors.select(id, F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.withColumns({"n": norm(F.col("v")), "t": table})
     best = rows.select(id, F.array_max(scored).alias("best"))
-    return best.select(id, (-F.col("best.minus")).alias("topic"), F.col("best.prob").alias("topic_prob"))
+    topic = -F.col("best.minus")
+    if min_prob is not None:
+        topic = F.when(F.col("best.prob") >= min_prob, topic).otherwise(F.lit(OUTLIER))
+    return best.select(id, topic.alias("topic"), F.col("best.prob").alias("topic_prob"))

@@ -71,8 +71,12 @@ class TopicSettings:
     reduce_frequent: bool = True
     bm25: bool = False
     min_df: int = 10
+    #: Whether ``min_df`` counts documents or classes.
+    scope: str = "documents"
+    #: Least cosine to a topic's centroid; a document below it is an outlier.
+    min_prob: float = 0.1
+    #: Experiments to run before the final fit, by default none of the three rounds.
     rounds: Sequence[str] = ()
-    repeats: int = topicfit.REPEATS
 
 
 def issue_documents(issues: DataFrame, null_token: str = "nan") -> DataFrame:
@@ -87,15 +91,17 @@ def issue_documents(issues: DataFrame, null_token: str = "nan") -> DataFrame:
 
 
 def topics(stages: Stages, settings: TopicSettings = TopicSettings(), mode: str = "search") -> DataFrame:
-    """``issue_topics``: search fits and saves topics, load reuses the saved centroids."""
+    """``issue_topics``: search fits and saves topics; load takes the saved ones and makes vectors of all documents,
+    also of those that are new, with the saved word weights."""
     docs = stages.write(issue_documents(stages.read("issues_preprocessed")), "issue_docs")
     if mode == "search":
         _search_topics(stages, docs, settings)
     elif mode != "load":
         raise ValueError("mode is 'search' or 'load'")
-    model = load_model(stages, "topic_model", "centroids")
-    vecs = stages.read("embeddings").filter("variant = 'small_clean'").select("doc_id", "embedding")
-    assigned = top.assign_topics(vecs, model["centroids"])
+    model = load_model(stages, "topic_model", "centroids", "word_weights")
+    weights = model["word_weights"].first().weights
+    vecs = topicfit.featurize(docs, "clean_text", "small_clean", topicfit.SMALL_WIDTH, weights=weights).select("doc_id", "embedding")
+    assigned = top.assign_topics(vecs, model["centroids"], min_prob=settings.min_prob)
     named = docs.join(assigned, "doc_id", "left").withColumn("topic", F.coalesce("topic", F.lit(top.OUTLIER)))
     return stages.write(named.drop("tokens"), "issue_topics")
 
@@ -110,21 +116,19 @@ def _search_topics(stages: Stages, docs: DataFrame, s: TopicSettings) -> None:
     configs = [c for name in s.rounds for c in topicfit.experiment_rounds()[name]]
     fits = {v: fit(v) for v in {c.variant for c in configs} | {"small_clean"}}
     if configs:
-        stages.write(topicfit.topic_experiments(docs, fits, configs, s.repeats, s.min_df), "topic_scores")
+        stages.write(topicfit.topic_experiments(docs, fits, configs, s.min_df), "topic_scores")
 
     best = topicfit.Config("best", "small_clean", "clean_text", s.outliers, s.reduce_frequent, s.bm25)
-    assigned, scores = topicfit.describe_topics(docs, fits["small_clean"], best, s.min_df)
-    merged = land(top.merge_topics(assigned, scores, s.nr_topics), "merged")
-    terms = text.document_terms(docs).select("doc_id", "terms").join(merged, "doc_id")
-    final = top.class_tfidf(terms, s.bm25, s.reduce_frequent, s.min_df)
-    final = land(final, "final_scores")
+    assigned, final = topicfit.describe_topics(docs, fits["small_clean"], best, s.min_df, s.nr_topics, s.scope)
+    weights = topicfit.word_weights(docs, "clean_text", topicfit.SMALL_WIDTH)
     small = vecs.filter("variant = 'small_clean'").select("doc_id", "embedding")
     save_model(
         stages, "topic_model",
-        assignments=merged,
+        assignments=assigned,
         topic_terms=top.topic_top_terms(final),
         topic_similarity=top.topic_similarity(final),
-        centroids=top.topic_centroids(small, merged, topicfit.SMALL_WIDTH),
+        centroids=top.topic_centroids(small, assigned, topicfit.SMALL_WIDTH),
+        word_weights=stages.spark.createDataFrame([(weights,)], "weights array<double>"),
     )
 
 
@@ -163,7 +167,10 @@ def sentiment(stages: Stages, gold: DataFrame, baseline: PipelineModel | None =
 def author_features(stages: Stages, subset: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """The three feature tables and the merged one. ``subset`` narrows which nulls drop a comment."""
     commits = stages.write(features.author_commit_features(stages.read("commits")), "author_commit_features")
-    topic = stages.write(features.author_topic_features(stages.read("issue_topics")), "author_topic_features")
+    issues = stages.read("issue_topics")
+    # The fixed columns, and those of topics a model with more of them has; one row per topic reaches the driver.
+    names = sorted({*features.TOPICS, *(r.topic for r in issues.select("topic").distinct().collect())})
+    topic = stages.write(features.author_topic_features(issues, topics=names), "author_topic_features")
     scored = features.require_all(stages.read("comment_sentiment"), subset)
     comments = stages.write(features.author_sentiment_features(scored), "author_sentiment_features")
     merged = features.fill_missing(features.merge_author_features(commits, comments, topic))

@@ -241,9 +241,12 @@ def fitted_topics_query(spark, sf_dir):
 
 @query("topic_experiments", "K11")
 def topic_experiments(spark, sf_dir):
-    """Outlier thresholds compared on topics that are fitted to the documents' own vectors."""
+    """All three rounds of experiments on topics that are fitted to the documents' own vectors."""
     docs = text_documents(spark, sf_dir)
-    vectors = land(topicfit.featurize(docs, "clean_text", "small_clean", 128), "vectors")
-    fits = {"small_clean": land(topicfit.topic_fit(vectors, 8, eps=0.25, min_samples=5, pca=8), "fit")}
-    configs = topicfit.experiment_rounds()["outliers"][:2]
-    return topicfit.topic_experiments(docs, fits, configs, repeats=1)
+    vectors = land(topicfit.four_variants(docs), "vectors")
+    configs = [c for configs in topicfit.experiment_rounds().values() for c in configs]
+    fits = {
+        v: land(topicfit.topic_fit(vectors.filter(F.col("variant") == v), 8, eps=0.25, min_samples=5, pca=8), "fit")
+        for v in sorted({c.variant for c in configs})
+    }
+    return topicfit.topic_experiments(docs, fits, configs)
