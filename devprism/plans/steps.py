@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from devprism.operators import (
-    density, features, mining, report, sentiment as sent, silhouette, spectral, text, topicfit, topics as top, vectors,
+    correlation, density, features, mining, report, sentiment as sent, silhouette, spectral, text, topicfit, topics as top,
+    vectors,
 )
 from devprism.runtime import land
 from devprism.sources.files import ProjectTree
@@ -145,6 +146,8 @@ def sentiment(stages: Stages, gold: DataFrame, baseline: PipelineModel | None =
     parts = land(sent.split_train_validation(coded, "id"), "gold")
     train, validation = parts.filter("part = 'train'"), parts.filter("part = 'validation'")
     tuned = sent.train_sentiment(train)
+    # Two classes: a neutral comment says nothing about them and is left out of their training.
+    binary = sent.train_sentiment(train.filter("target <> 1").withColumn("target", F.expr("cast(target = 2 as int)")))
     if baseline is None:
         baseline = sent.train_sentiment(train, features=1 << 8)
     predictions = {"baseline": sent.validate_sentiment(baseline, validation), "tuned": sent.validate_sentiment(tuned, validation)}
@@ -152,9 +155,10 @@ def sentiment(stages: Stages, gold: DataFrame, baseline: PipelineModel | None =
     quality = stages.write(sent.compare_models(written), "sentiment_quality")
 
     raw, clean = stages.read("issues"), stages.read("issues_preprocessed")
-    runs = sent.sentiment_runs({"raw": raw, "preprocessed": clean}, {"zero": (baseline, sent.CLASSES), "tuned": (tuned, sent.CLASSES)})
+    models = {"zero": (baseline, sent.CLASSES), "tuned": (tuned, sent.CLASSES), "binary": (binary, sent.BINARY_CLASSES)}
+    runs = sent.sentiment_runs({"raw": raw, "preprocessed": clean}, models)
     runs = stages.write(runs, "sentiment_runs")
-    names = [f"{t}_{m}" for t in ("raw", "preprocessed") for m in ("zero", "tuned")]
+    names = [f"{t}_{m}" for t in ("raw", "preprocessed") for m in models]
     spread = stages.write(sent.sentiment_distribution(runs, names), "sentiment_distribution")
     final = runs.filter("run = 'preprocessed_tuned'").dropDuplicates(["comment_id"])
     scored = stages.write(sent.attach_sentiment(clean, final), "comment_sentiment")
@@ -171,10 +175,18 @@ def author_features(stages: Stages, subset: Sequence[str] | None = None) -> dict
     # The fixed columns, and those of topics a model with more of them has; one row per topic reaches the driver.
     names = sorted({*features.TOPICS, *(r.topic for r in issues.select("topic").distinct().collect())})
     topic = stages.write(features.author_topic_features(issues, topics=names), "author_topic_features")
-    scored = features.require_all(stages.read("comment_sentiment"), subset)
+    comment = stages.read("comment_sentiment")
+    stages.write(features.unknown_sentiments(comment), "unknown_sentiments")
+    scored = features.require_all(comment, subset)
     comments = stages.write(features.author_sentiment_features(scored), "author_sentiment_features")
     merged = features.fill_missing(features.merge_author_features(commits, comments, topic))
-    return {"commits": commits, "topics": topic, "sentiment": comments, "all": stages.write(merged, "author_features")}
+    tables = {"commits": commits, "topics": topic, "sentiment": comments, "all": stages.write(merged, "author_features")}
+    for name, table in tables.items():
+        cols = table.columns[1:]
+        matrix = stages.write(correlation.correlation_matrix(table, cols), f"correlation_{name}")
+        kept = correlation.select_uncorrelated(matrix, cols)
+        stages.write(stages.spark.createDataFrame([(c,) for c in kept], "feature string"), f"uncorrelated_{name}")
+    return tables
 
 
 # --- 5. clustering ---------------------------------------------------------------------------

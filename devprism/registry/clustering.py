@@ -34,15 +34,16 @@ def sql_scaled(source: str, cols: list[str], key: str = "author", places: int |
 COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in feature_ops.COMMIT_FEATURES)
 
 
-def matrices(spark: SparkSession, sf_dir: str):
-    commit = feature_ops.author_commit_features(commits(spark, sf_dir), places=PLACES)
-    # Scaling reads its input twice: once for the moments, once for the rows.
-    return vectors.load_matrices(land(author_features(spark, sf_dir), "all"), land(commit, "commits"))
+def matrix(spark: SparkSession, sf_dir: str, which: int):
+    """One of the two matrices. Scaling reads its input twice, for the moments and for the rows, so that is landed."""
+    whole, commit = author_features(spark, sf_dir), feature_ops.author_commit_features(commits(spark, sf_dir), places=PLACES)
+    tables = [land(df, "matrix") if i == which else df for i, df in enumerate((whole, commit))]
+    return vectors.load_matrices(*tables)[which]
 
 
 @query("standardized_features", "P21 M1", sql_scaled(AUTHOR_ALL, ALL_FEATURES))
 def standardized_features(spark, sf_dir):
-    return rounded(matrices(spark, sf_dir)[0])
+    return rounded(matrix(spark, sf_dir, 0))
 
 
 @query(
@@ -50,7 +51,7 @@ def standardized_features(spark, sf_dir):
     sql(sql_scaled(f"SELECT * FROM ({COMMIT_ALL}) WHERE {COMPLETE}", feature_ops.COMMIT_FEATURES), "commits"),
 )
 def standardized_commit_features(spark, sf_dir):
-    return rounded(matrices(spark, sf_dir)[1])
+    return rounded(matrix(spark, sf_dir, 1))
 
 
 PAIR_MEANS = f"SELECT author, {sql_mean('ns')} AS ns, {sql_mean('nm')} AS nm FROM commits GROUP BY author"

@@ -131,7 +131,8 @@ def ternary(spark, sf_dir):
 
 
 def binary(spark, sf_dir):
-    two = gold(spark, sf_dir).withColumn("target", F.expr("cast(target = 2 as int)"))
+    parts = ops.split_train_validation(gold(spark, sf_dir), "id")
+    two = parts.filter("part = 'train'").withColumn("target", F.expr("cast(target = 2 as int)"))
     return ops.train_sentiment(two)
 
 
