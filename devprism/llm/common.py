@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 #: Bytes of text that are coded at once; one longer text is coded alone.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 400_000
+#: Powers that a worker keeps; longer texts make their own.
+KEPT_POWERS = 1 << 22
+#: Characters of text whose results leave a task at once.
+EMIT_BYTES = 4_000_000
 
 
 def pick(df: DataFrame, **types: str) -> DataFrame:
@@ -43,11 +47,11 @@ _POWERS: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``BASE**i`` and its inverse modulo 2**64 for i < n; kept per worker, dropped after an outsize text."""
     if len(_POWERS.get("up", ())) < n:
-        n = max(n, CHUNK_BYTES * 5 // 4)
+        n = max(n * 5 // 4, CHUNK_BYTES)
         up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         up, down = np.cumprod(up), np.cumprod(down)
-        if n > 2 * CHUNK_BYTES:
+        if n > KEPT_POWERS:
             return up, down
         _POWERS.update(up=up, down=down)
     return _POWERS["up"], _POWERS["down"]

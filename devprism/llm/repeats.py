@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from devprism.llm.common import as_long, mix, pick, prefix_hashes, seeds, slice_hashes, sliding_argmin, text_chunks
+from devprism.llm.common import EMIT_BYTES, as_long, mix, pick, prefix_hashes, seeds, slice_hashes, sliding_argmin, text_chunks
 from devprism.runtime import land
 
 LAST = (1 << 63) - 1
@@ -103,7 +103,8 @@ ANCHOR = "kind int, gram bigint, around bigint, d bigint, th bigint, place bigin
 
 def _emit_anchors(settings: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for part, batch in ((p, b) for b in batches for p in text_chunks(list(b["text"]), EMIT_BYTES)):
+            batch = batch.iloc[part]
             texts, ids, hashes = list(batch["text"]), batch["d"].to_numpy(np.int64), batch["th"].to_numpy(np.int64)
             parts = [anchors_of(texts[p], settings) for p in text_chunks(texts)]
             if not parts:
@@ -369,7 +370,7 @@ def _apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 gone, at = gone + end - start, end
             kept.update(raw[at:])
             out.append((doc_id, len(raw), gone, len(spans), kept.hexdigest(), [{"start": s, "end": e} for s, e in spans]))
-        yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
 def repeated_ranges(keyed: DataFrame, settings: Settings) -> DataFrame:
@@ -409,6 +410,7 @@ def without_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         distinct = distinct.groupBy("d", "th").agg(F.first("text").alias("text"))
     ranges = repeated_ranges(distinct, settings)
     ranges = ranges.groupBy("d", "th").agg(F.collect_list(F.struct("place", "pack")).alias("ranges"))
-    joined = keyed.join(ranges, ["d", "th"], "left").select("doc_id", "text", "ranges")
-    kinds = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
-    return joined.mapInPandas(_apply, kinds)
+    joined = keyed.join(ranges, ["d", "th"], "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "ranges")
+    kinds = "doc_id string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
+    # Ids travel as text through pandas, which has no null for whole numbers.
+    return joined.mapInPandas(_apply, kinds).withColumn("doc_id", F.col("doc_id").cast("bigint"))
