@@ -110,8 +110,8 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, settings: Settings = Se
     entities = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
     words = texts.select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(text), '{letters}', 0)"))).alias("term"))
     words = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = texts.agg(F.count("*").alias("n"))
-    known = pairs.join(entities, "entity").join(words, "term").crossJoin(F.broadcast(total))  # one row
+    total = texts.agg(F.count("*").alias("n")).scalar()
+    known = pairs.join(entities, "entity").join(words, "term").withColumn("n", total)
     disclosure = F.expr("ln(n * both / (n_entity * n_term)) / ln(n / n_entity)")
     return known.withColumn("disclosure", disclosure).filter(F.col("disclosure") >= settings.generalise).select("entity", "term", "disclosure")
 

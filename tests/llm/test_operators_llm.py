@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
 from collections import Counter
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from devprism.llm import langid, leaks, metric, mixing, neardup, passages, privacy, repeats, secrets, toxicity
 from devprism.llm.common import sliding_argmin
 
-ODD = [(None, "some words with no id"), (1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (5, "é" * 3000), (6, "ab " * 40000)]
+ODD = [(None, "some words with no id"), ((1 << 60) + 1, "a long id"), (1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (5, "é" * 3000), (6, "ab " * 40000)]
 
 
 @pytest.fixture(scope="module")
@@ -300,5 +301,16 @@ def test_passage_groups(spark, documents, voc):
     assert all(root(d) == root(d % 20) for d in range(80))
 
 
+def test_native_operators_run_no_python(spark, documents):
+    docs = documents([(1, "write to kim@example.org", None, "a"), (2, "b c", None, "b")])
+    for frame in (privacy.find_personal(docs), mixing.mix(docs)):
+        assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_not_in_the_package():
+    folder = pathlib.Path(secrets.__file__).parent
+    assert not [p.name for p in folder.glob("*.py") if re.search(r"localCheckpoint|crossJoin|\.rdd\b|mkdtemp", p.read_text())]
+
+
 def test_word_rule():
     assert len(neardup.shingle_sets(["A b c  a"], 2)[0]) == 2 and re.match(r"[^\x20\x09-\x0D]+", " ")
