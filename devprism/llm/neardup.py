@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from devprism.llm.common import Words, as_long, mix, pick, seeds, text_chunks
+from devprism.llm.common import EMIT_BYTES, Words, as_long, mix, pick, seeds, text_chunks
 from devprism.operators.components import connected_components
 from devprism.runtime import land
 
@@ -40,7 +40,7 @@ class Settings:
     #: Members of a family whose sets meet in one task.
     block_rows: int = 512
     #: Elements that are permuted at once.
-    chunk: int = 200_000
+    chunk: int = 50_000
 
 
 def shingle_sets(texts: list, words: int) -> list[np.ndarray]:
@@ -66,7 +66,7 @@ def shingle_sets(texts: list, words: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray], size: int, chunk: int = 200_000) -> np.ndarray:
+def signatures(sets: list[np.ndarray], size: int, chunk: int = 50_000) -> np.ndarray:
     """SuperMinHash signatures, one row per set; rows of empty sets are infinite."""
     out = np.full((len(sets), size), np.inf)
     lengths = np.array([len(s) for s in sets])
@@ -106,7 +106,8 @@ def _sid(codes: np.ndarray) -> bytes:
 
 def _sign(settings: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for part, batch in ((p, b) for b in batches for p in text_chunks(list(b["text"]), EMIT_BYTES)):
+            batch = batch.iloc[part]
             sets = shingle_sets(list(batch["text"]), settings.words)
             rows = signatures(sets, settings.bands * settings.rows, settings.chunk).view(np.uint64)
             rows = rows.reshape(len(sets), settings.bands, settings.rows)
@@ -114,7 +115,7 @@ def _sign(settings: Settings):
             for r in range(settings.rows):
                 key = mix(key + rows[:, :, r])
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"],
+                "doc_id": batch["doc_id"].to_numpy(),
                 "n_shingles": [len(s) for s in sets],
                 "sid": [_sid(s) if len(s) else None for s in sets],
                 "bands": list(as_long(key)),
@@ -184,7 +185,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     has an id. Other columns are not read; an empty table gives no rows.
     """
     rows = pick(docs, doc_id="bigint", text="string")
-    signed = land(rows.mapInPandas(_sign(settings), "doc_id bigint, n_shingles bigint, sid binary, bands array<bigint>"), "signatures")
+    # Ids travel as text through pandas, which has no null for whole numbers.
+    named = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
+    signed = named.mapInPandas(_sign(settings), "doc_id string, n_shingles bigint, sid binary, bands array<bigint>")
+    signed = land(signed.withColumn("doc_id", F.col("doc_id").cast("bigint")), "signatures")
     full = signed.filter("sid is not null")
     classes = land(full.groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "classes")
     placed = classes.select("sid", F.explode("bands").alias("band"))
