@@ -1,11 +1,11 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
-
-A walk reads words: at step i it emits the pair of words at its place and moves on only if bit i of
-the hash of its word is set. Texts a few edits apart fall into step again, so edit distance turns
-into Hamming distance between the emitted rows. A table samples a few steps of a walk; a window of
-a document is a candidate where all sampled emissions meet those of a window of an item. Walks run
-for all words of a batch at once, and only windows that met the first sample go on to the next.
-Candidates are aligned with the whole item by exact edit distance in words.
+"""Benchmark decontamination: segments of items by hash, exact edit verification.
+
+An item that may have k edits is cut into k + 1 segments of nearly equal length. Whatever words are
+edited, one segment at least stays whole, so every place of an item within the distance holds one of
+its segments word by word, at most k words off its place. Segments of a length are found by a
+rolling hash of all runs of so many words, the pairs of a place and an item are thinned by the words
+they share, and the rest is aligned with the whole item by exact edit distance in words. Nothing
+within the distance is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from devprism.llm.common import Words, mix, pick, seeds, text_chunks
+from devprism.llm.common import Words, pick, prefix_hashes, slice_hashes, text_chunks
 
 HITS = "array<struct<item_id:bigint,start_word:int,end_word:int,distance:int>>"
 
@@ -29,104 +29,82 @@ class Settings:
     similarity: float = 0.8
     #: Items of fewer words identify nothing and are not searched.
     min_words: int = 5
-    #: Walks, tables per walk, sampled steps per table. tests/llm measure the recall they reach.
-    walks: int = 2
-    tables: int = 2
-    samples: int = 4
-    #: A window of an item starts at every so many words.
-    stride: int = 2
     #: Items per pass over the documents; more items take more passes.
     block: int = 4096
 
 
-def _plan(settings: Settings) -> list[tuple[int, list[int]]]:
-    """Sampled steps per table, by walk; early first steps keep the part walked by all words short."""
-    rng = np.random.default_rng(11)
-    out = []
-    for walk in range(settings.walks):
-        for _ in range(settings.tables):
-            steps = [int(rng.integers(0, 5))]
-            for _ in range(settings.samples - 1):
-                steps.append(steps[-1] + int(rng.integers(1, 8)))
-            out.append((walk, steps))
-    return out
-
-
-def _pairs(code: np.ndarray) -> np.ndarray:
-    """Hash of each word with the next; the last word stands with nothing."""
-    return mix(code * np.uint64(3) + np.append(code[1:], np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15))
+#: Pairs of a place and an item that are looked at together, and words compared at once.
+PAIRS, COMPARED = 1 << 18, 1 << 23
+#: Items up to so many words are compared with their places all at once, longer ones when aligned.
+SHORT = 64
 
 
-def _advance(at: np.ndarray, moves: np.ndarray, first: int, last: int, end: int) -> np.ndarray:
-    for i in range(first, last):
-        at = at + ((moves[at] >> np.uint64(i)) & np.uint64(1)).astype(np.int64)
-    return np.minimum(at, end)
+def edits(words: int, similarity: float) -> int:
+    """Edits that an item of so many words may have."""
+    return int(words * (1 - similarity) + 1e-9)
 
 
 class Index:
-    """Emissions of all windows of a block of items; shipped to the tasks."""
+    """Segments of all items of a block; shipped to the tasks."""
 
     def __init__(self, items: list[tuple[int, str]], settings: Settings):
-        self.settings, self.plan = settings, _plan(settings)
+        self.settings = settings
         words = Words([t for _, t in items], "punctuation")
-        cut = words.first
-        self.items = [(i, words.code[cut[k] : cut[k + 1]]) for k, (i, _) in enumerate(items) if cut[k + 1] - cut[k] >= settings.min_words]
-        entries = [(k, o) for k, (_, code) in enumerate(self.items) for o in range(0, max(1, len(code) - settings.min_words), settings.stride)]
-        self.entry = np.array(entries, np.int64).reshape(-1, 2)
-        self.keys, self.order, self.sieve = [], [], []
-        for walk, steps in self.plan:
-            rows = np.zeros((len(entries), len(steps)), np.uint64)
-            for k, (_, code) in enumerate(self.items):
-                mine = np.flatnonzero(self.entry[:, 0] == k)
-                at, before, pairs, moves = self.entry[mine, 1], 0, _pairs(code), self.moves(code, walk)
-                for c, step in enumerate(steps):
-                    at = _advance(at, moves, before, step, len(code) - 1) if step > before else at
-                    rows[mine, c], before = pairs[at], step
-            sieve = np.zeros(1 << 16, bool)
-            sieve[(rows[:, 0] & np.uint64(0xFFFF)).astype(np.int64)] = True
-            key = self.fold(rows)
+        size = np.diff(words.first)
+        kept = np.flatnonzero(size >= settings.min_words)
+        self.items = [(items[k][0], words.code[words.first[k] : words.first[k + 1]]) for k in kept.tolist()]
+        self.size = size[kept]
+        self.allowed = np.array([edits(n, settings.similarity) for n in self.size.tolist()], np.int64)
+        parts = np.minimum(self.allowed + 1, self.size)
+        item = np.repeat(np.arange(len(kept)), parts)
+        nth = np.arange(len(item)) - np.repeat(np.cumsum(parts) - parts, parts)
+        start, end = nth * self.size[item] // parts[item], (nth + 1) * self.size[item] // parts[item]
+        first, prefix = words.first[kept][item], prefix_hashes(words.code)
+        #: By length of the segments: bits of their hashes, the hashes in order, their items and places.
+        self.tables = {}
+        for length in np.unique(end - start).tolist():
+            mine = np.flatnonzero(end - start == length)
+            key = slice_hashes(prefix, first[mine] + start[mine], first[mine] + end[mine])
             order = np.argsort(key, kind="stable")
-            self.keys.append(key[order])
-            self.order.append(order)
-            self.sieve.append(sieve)
-
-    @staticmethod
-    def fold(rows: np.ndarray) -> np.ndarray:
-        key = np.zeros(len(rows), np.uint64)
-        for c in range(rows.shape[1]):
-            key = mix(key + rows[:, c])
-        return key
-
-    @staticmethod
-    def moves(code: np.ndarray, walk: int) -> np.ndarray:
-        """Move bits of each word on a walk, padded so that a walk past the end stands still."""
-        return np.append(mix(code ^ seeds(8, 5)[walk]), np.zeros(64, np.uint64))
-
-    def candidates(self, code: np.ndarray) -> np.ndarray:
-        """Rows ``(place, item, place in the item)`` of windows that met in some table."""
-        n, out = len(code), []
-        pairs = _pairs(code)
-        low = (pairs & np.uint64(0xFFFF)).astype(np.int64)
-        walk_before, at, step_before = -1, None, 0
-        for t in sorted(range(len(self.plan)), key=lambda t: (self.plan[t][0], self.plan[t][1][0])):
-            walk, steps = self.plan[t]
-            if walk != walk_before:
-                moves, at, walk_before, step_before = self.moves(code, walk), np.arange(n), walk, 0
-            at = _advance(at, moves, step_before, steps[0], n - 1)
-            step_before = steps[0]
-            alive = np.flatnonzero(self.sieve[t][low][at])
-            here, rows = at[alive], [pairs[at[alive]]]
-            for a, b in zip(steps, steps[1:]):
-                here = _advance(here, moves, a, b, n - 1)
-                rows.append(pairs[here])
-            key = self.fold(np.stack(rows, axis=1)) if len(alive) else np.zeros(0, np.uint64)
-            left, right = np.searchsorted(self.keys[t], key), np.searchsorted(self.keys[t], key, "right")
-            count = right - left
-            if count.any():
-                place = np.repeat(alive, count)
-                run = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                entry = self.entry[self.order[t][np.repeat(left, count) + run]]
-                out.append(np.column_stack([place, entry]))
+            sieve = np.zeros(1 << max(16, (8 * len(key)).bit_length()), bool)
+            sieve[(key & np.uint64(len(sieve) - 1)).astype(np.int64)] = True
+            self.tables[length] = sieve, key[order], item[mine][order], start[mine][order]
+
+    def met(self, words: Words) -> Iterator[np.ndarray]:
+        """Rows ``(text, item, place where the item would start)`` of segments that were met, part by part."""
+        prefix = prefix_hashes(words.code)
+        for length, (sieve, keys, items, offsets) in self.tables.items():
+            place = np.arange(len(words.code) - length + 1)
+            key = slice_hashes(prefix, place, place + length)
+            alive = np.flatnonzero(sieve[(key & np.uint64(len(sieve) - 1)).astype(np.int64)] & (words.doc[place] == words.doc[place + length - 1]))
+            left = np.searchsorted(keys, key[alive])
+            count = np.searchsorted(keys, key[alive], "right") - left
+            total = np.append(0, np.cumsum(count))
+            for a in range(0, int(total[-1]), PAIRS):
+                pair = np.arange(a, min(a + PAIRS, int(total[-1])))
+                at = np.searchsorted(total, pair, "right") - 1
+                entry = left[at] + pair - total[at]
+                yield np.unique(np.column_stack([words.doc[alive[at]], items[entry], alive[at] - offsets[entry]]), axis=0)
+
+    def shared(self, rows: np.ndarray, words: Words) -> np.ndarray:
+        """Those of ``rows`` around whose place all words of the item stand, but for as many as may be edited."""
+        keep = self.size[rows[:, 1]] > SHORT
+        for size in np.unique(self.size[rows[~keep, 1]]).tolist():
+            mine = np.flatnonzero(self.size[rows[:, 1]] == size)
+            off = edits(size, self.settings.similarity)
+            step = max(1, COMPARED // (size * (size + 2 * off)))
+            for some in (mine[i : i + step] for i in range(0, len(mine), step)):
+                doc, start = rows[some, 0], rows[some, 2]
+                near = start[:, None] + np.arange(-off, size + off)
+                inside = (near >= words.first[doc][:, None]) & (near < words.first[doc + 1][:, None])
+                near = words.code[np.where(inside, near, 0)]
+                item = np.stack([self.items[k][1] for k in rows[some, 1].tolist()])
+                keep[some] = ((item[:, :, None] == near[:, None, :]) & inside[:, None, :]).any(axis=2).sum(axis=1) >= size - off
+        return rows[keep]
+
+    def candidates(self, words: Words) -> np.ndarray:
+        """Rows ``(text, item, place)`` to align, in order; places count over all texts."""
+        out = [self.shared(rows, words) for rows in self.met(words)]
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
     def hits(self, texts: list) -> list[list[dict]]:
@@ -137,13 +115,10 @@ class Index:
             words = Words(texts[part], "punctuation")
             if not len(words.code):
                 continue
-            rows = self.candidates(words.code)
-            doc = words.doc[rows[:, 0]]
-            spots = np.unique(np.column_stack([doc, rows[:, 1], rows[:, 0] - rows[:, 2]]), axis=0)
             done: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for d, k, start in spots.tolist():
+            for d, k, start in self.candidates(words).tolist():
                 taken = done.setdefault((d, k), [])
-                if any(s <= start + 1 < e for s, e in taken):
+                if any(s <= start + 1 and start + self.allowed[k] < e for s, e in taken):  # all it can start at is taken
                     continue
                 first, last = int(words.first[d]), int(words.first[d + 1])
                 hit = align(self.items[k][1], words.code[first:last], start - first, self.settings.similarity)
@@ -168,7 +143,7 @@ def _ends(item: np.ndarray, text: np.ndarray) -> np.ndarray:
 def align(item: np.ndarray, text: np.ndarray, guess: int, similarity: float) -> tuple[int, int, int] | None:
     """``(start, end, distance)`` of the best alignment near ``guess``, or None if it is too far off."""
     n = len(item)
-    allowed = int(n * (1 - similarity) + 1e-9)
+    allowed = edits(n, similarity)
     if 0 <= guess and guess + n <= len(text) and np.array_equal(item, text[guess : guess + n]):
         return guess, guess + n, 0
     left, right = max(0, guess - 2 * allowed - 1), min(len(text), guess + n + 2 * allowed + 1)

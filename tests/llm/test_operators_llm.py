@@ -132,6 +132,28 @@ def test_leak_recall(voc):
         assert found >= 0.95 * due and due > 100
 
 
+@pytest.mark.parametrize("size", (5, 6, 7, 9, 10, 14, 15, 24, 40, 60))
+def test_leaks_at_full_distance(voc, size):
+    """Every passage within a fifth of its item is found, whatever words are edited; word pairs may be common."""
+    rng = random.Random(size)
+    items = [(i, " ".join(rng.choices(voc, k=size))) for i in range(80)] + [(i, " ".join(rng.choices(voc[:12], k=size))) for i in range(80, 100)]
+    texts = []
+    for _, text in items:
+        edited = text.split()
+        for _ in range(size // 5):
+            kind, at = rng.randrange(3), rng.choice([0, len(edited) - 1, rng.randrange(len(edited)), rng.randrange(len(edited))])
+            edited[at : at + (kind != 1)] = [rng.choice(voc)] * (kind != 2)
+        texts.append(" ".join(rng.choices(voc[:40], k=50) + edited + rng.choices(voc[:40], k=50)))
+    hits = leaks.Index(items, leaks.Settings()).hits(texts)
+    due = found = 0
+    for (item, text), whole, hit in zip(items, texts, hits):
+        a, b = (leaks.Words([t], "punctuation").code for t in (text, whole))
+        if leaks._ends(a, b).min() <= size // 5:
+            due += 1
+            found += any(h["item_id"] == item and h["distance"] <= size // 5 for h in hit)
+    assert due == 100 and found == due, found
+
+
 def test_leaks_in_blocks(spark, documents, voc):
     rng = random.Random(2)
     items = [(i, " ".join(rng.choices(voc, k=30))) for i in range(30)]
