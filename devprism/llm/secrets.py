@@ -2,8 +2,9 @@
 
 A candidate is a long run of token characters. Over each run of one character class a window
 slides; the counts of its characters, and with them the entropy, are updated by the one character
-that enters and the one that leaves. Windows over the bound of their class make spans, unless an
-allow-list pattern covers the run or a fixed pattern has already marked it.
+that enters and the one that leaves. Windows over the bound of their class make spans, unless the
+run is allowed as a whole, the window meets a word that marks samples, or a fixed pattern has already
+marked it. A marked sample excuses the windows it is in, not what else stands in its path or key.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,16 @@ from devprism.llm.common import pick
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
+#: Pairs of letters that are usual in words, by the first letter.
+PAIRS = {
+    first + second
+    for part in (
+        "abcdgilmnprstuvy baeiloru caehiklortu daeiorsu eacdeilmnpqrstuvx faefioru gaehilnoru haeiort iabcdefglmnorstv jaeou kei ladeilostuy "
+        "mabeimopsu nacdefgikostu obcdfgilmnoprstuvw paehiloprstu qu racdeiklmnorstuvy sacehiklmopqstuwy taehilorstuwy uabcdegilmnprst "
+        "vaeio waehio xaeipt yeos zaeio"
+    ).split()
+    for first, second in ((part[0], c) for c in part[1:])
+}
 KINDS = ("assign", "access", "hex", "entropy")
 
 SPAN = "array<struct<kind:string,start:int,end:int>>"
@@ -38,20 +49,21 @@ class Entropy:
         ("alnum", r"[A-Za-z0-9]{20,}", 20, 3.6),
         ("base64", r"[A-Za-z0-9+/_=-]{20,}", 20, 3.7),
     )
-    #: Runs that are no secrets: words and paths without digits, numbers, dates, identifiers in the usual
-    #: form, the alphabet in order, marked samples, and code words joined by separators.
-    allow: tuple[str, ...] = field(
-        default=(
-            r"[^0-9]*", r"[0-9_=+/-]*", r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-            r"(?i).*(abcdefgh|12345678|example|sample|placeholder|xxxx|dummy).*",
-            r"([A-Za-z]*[0-9]{0,4}[-_/=+])*[A-Za-z]*[0-9]{0,4}",
-        )
-    )
+    #: Runs that are no secrets: numbers and dates, identifiers in the usual form.
+    allow: tuple[str, ...] = (r"[0-9_=+/-]*", r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+    #: Nor are code words joined by separators, if their letters are those of words: so large a share of their
+    #: pairs is usual, over the run and in each word of so many letters.
+    code: str = r"([A-Za-z]*[0-9]{0,4}[-_/=+])*[A-Za-z]*[0-9]{0,4}"
+    usual: float = 0.7
+    long: int = 12
+    #: Windows that meet one of these words, or so many characters in order, are samples.
+    marker: str = r"(?i)example|sample|placeholder|x{4,}|dummy"
+    in_order: int = 8
 
 
 def window_entropies(run: str, width: int) -> list[float]:
     """Entropy in bits of each window of ``width`` characters, by incremental counts."""
-    term = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
+    term = [0.0] + [c * math.log2(c) for c in range(1, width + 2)]
     counts: dict[str, int] = {}
     total, out, full = 0.0, [], math.log2(width)
     for i, new in enumerate(run):
@@ -78,6 +90,8 @@ class Scanner:
         self.candidate = re.compile(settings.candidate)
         self.classes = [(re.compile(run), width, bits) for _, run, width, bits in settings.classes]
         self.allow = [re.compile(p) for p in settings.allow]
+        self.code, self.marker = re.compile(settings.code), re.compile(settings.marker)
+        self.usual, self.long, self.in_order = settings.usual, settings.long, settings.in_order
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         found = [(m.start(), 0, m.end()) for m in self.assign.finditer(text) if m.end(2) - m.start(2) >= 6]
@@ -86,16 +100,41 @@ class Scanner:
         found += [(m.start(), 2, m.end()) for m in self.hex.finditer(text)]
         return sorted(found)
 
+    def allowed(self, run: str) -> bool:
+        """Whether a whole run is no secret."""
+        if any(p.fullmatch(run) for p in self.allow):
+            return True
+        if not self.code.fullmatch(run):
+            return False
+        usual = pairs = 0
+        for word in re.findall("[a-z]+", run.lower()):
+            mine = sum(word[i : i + 2] in PAIRS for i in range(len(word) - 1))
+            if len(word) >= self.long and mine < self.usual * (len(word) - 1):
+                return False
+            usual, pairs = usual + mine, pairs + len(word) - 1
+        return usual >= self.usual * pairs
+
+    def samples(self, candidate: str) -> list[tuple[int, int]]:
+        """Ranges of marker words and of characters in order."""
+        found, start = [m.span() for m in self.marker.finditer(candidate)], 0
+        low = candidate.lower()
+        for i in range(1, len(low) + 1):
+            if i == len(low) or ord(low[i]) != ord(low[i - 1]) + 1:
+                if i - start >= self.in_order:
+                    found.append((start, i))
+                start = i
+        return found
+
     def dense(self, candidate: str) -> list[tuple[int, int]]:
         """Runs of windows over their bound, as merged ranges."""
-        marked = []
+        marked, samples = [], self.samples(candidate)
         for run, width, bits in self.classes:
             for m in run.finditer(candidate):
-                if any(p.fullmatch(m[0]) for p in self.allow):
+                if self.allowed(m[0]):
                     continue
-                for i, entropy in enumerate(window_entropies(m[0], width)):
-                    if entropy >= bits:
-                        marked.append((m.start() + i, m.start() + i + width))
+                for i, entropy in enumerate(window_entropies(m[0], width), m.start()):
+                    if entropy >= bits and not any(s < i + width and i < e for s, e in samples):
+                        marked.append((i, i + width))
         merged: list[tuple[int, int]] = []
         for start, end in sorted(marked):
             if merged and start <= merged[-1][1]:
@@ -111,7 +150,7 @@ class Scanner:
         base = self.base(text)
         more = []
         for m in self.candidate.finditer(text):
-            if any(p.fullmatch(m[0]) for p in self.allow):
+            if self.allowed(m[0]):
                 continue
             for start, end in self.dense(m[0]):
                 start, end = start + m.start(), end + m.start()

@@ -281,6 +281,20 @@ def test_secret_spans(spark, documents):
     assert got == {0: [("assign", 0, 16)], 1: [("entropy", 4, 4 + len(key))], 2: [], 3: [("access", 2, 22), ("hex", 23, 47)], 4: [("hex", 0, 60001)]}
 
 
+def test_secrets_beside_samples():
+    """A marker word excuses itself, not the secret in its path or key; letters alone can be a secret, words are none."""
+    scanner, key = secrets.Scanner(secrets.Entropy()), "x9Kq2Lm8Zt4Rw7Yb1Vn5Pc3T"
+    for text in ("/srv/sample/{}", "example_key={}", "{}/12345678", "dummy-{}-xxxx", "sample{}", "/a/placeholder/b/{}"):
+        whole = text.format(key)
+        [(s, kind, e)] = scanner.spans(whole)
+        assert kind == 3 and key in whole[s:e] and not re.search("sample|12345678|dummy|xxxx|placeholder", whole[s:e]), text
+    for token in ("qzXkVjwPmgTHbrLcdNfsYtWu", "/srv/documents/qzxkvjwpmgthbrlcdnfsytwu", "qzxk-vjwp-mgth-brlc-dnfs"):
+        assert [k for _, k, _ in scanner.spans(token)] == [3], token
+    plain = ("getUserAccountInformationFromDatabase", "/usr/share/documentation/packages/index", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789")
+    assert secrets.window_entropies("a" * 30, 20) == [0.0] * 11
+    assert not [t for t in (*plain, "MAXIMUM_NUMBER_OF_CONNECTIONS_2", "example-sample-placeholder-12345678") if scanner.spans(t)]
+
+
 def test_window_entropies():
     rng = random.Random(1)
     run = "".join(rng.choices("abc123", k=60))
