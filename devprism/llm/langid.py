@@ -32,6 +32,8 @@ FAMILIES = {
     "indic": "hi ur bn mr gu pa ne",
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
+#: Margins between languages that are in memory at once.
+MARGINS = 5_000_000
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -40,8 +42,6 @@ class Settings:
     width: int = 2048
     #: About so many rows of each language are learned from, chosen by a hash of the id.
     rows_per_language: int = 800
-    #: Languages learned at most, the most frequent first.
-    languages: int = 100
     iterations: int = 25
 
 
@@ -90,9 +90,12 @@ def _fit_pair(rows: DataFrame, column: str, a: str, b: str, settings: Settings)
 
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
-    """Learn from ``docs(doc_id, text, lang)``: rows with a text and a language, about ``rows_per_language`` of each."""
+    """Learn from ``docs(doc_id, text, lang)``: rows with a text and a language, about ``rows_per_language`` of each.
+
+    Every language is learned, however rare it is.
+    """
     rows = docs.filter("text is not null and lang is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.languages).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
     if not counts:
         return Model(settings)
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, settings.rows_per_language / r["n"]))])
@@ -140,8 +143,10 @@ def predict(texts: list, model: Model) -> tuple[list[str], list[float]]:
         groups.setdefault(FAMILY_OF.get(lang, lang), []).append(lang)
     names = sorted(groups)
     some = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
-    for start in range(0, len(some), 500):
-        mine = some[start : start + 500]
+    most = max(len(names), *map(len, groups.values()))
+    step = min(500, max(1, MARGINS // most**2))
+    for start in range(0, len(some), step):
+        mine = some[start : start + step]
         x = vectors([texts[i] for i in mine], model.settings.width)
         family, sure = _decide(x, names, list(model.families))
         for f, name in enumerate(names):

@@ -66,6 +66,21 @@ def test_language_of_nothing(spark, documents):
     assert set(got.values()) == {("und", 0.0)}
 
 
+def test_all_languages_are_learned(documents, monkeypatch):
+    """However many languages there are, the rarest has its machines and can be told."""
+    said = []
+
+    def fit_pair(rows, column, a, b, settings):
+        said.append((column, a, b))
+        return langid.Pair(a, b, np.zeros(settings.width, np.float32), -1.0 if b == "l100" else 1.0 if a == "l100" else 0.5)
+
+    monkeypatch.setattr(langid, "_fit_pair", fit_pair)
+    rows = [(2 * i + j, f"word {i}", f"l{i:03}") for i in range(104) for j in range(1 if i == 100 else 2)]
+    model = langid.fit(documents(rows), langid.Settings(width=8))
+    assert model.languages == tuple(f"l{i:03}" for i in range(104)) and len(said) == 104 * 103 // 2
+    assert set(langid.predict(["some text"] * 1000, model)[0]) == {"l100"}
+
+
 def test_repeats_brute_force(spark, documents):
     rng = random.Random(3)
     parts = ["".join(rng.choices(["ab", "cde", "fg hi", "the", "nd é"], k=rng.randint(20, 90))) for _ in range(6)]
