@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from devprism.llm import langid, leaks, metric, mixing, neardup, passages, privacy, repeats, secrets, toxicity
+from devprism.llm import dialogue, langid, leaks, metric, mixing, neardup, passages, privacy, repeats, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -153,3 +153,94 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count("assign"), count("access"), count("hex"),
         F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("secrets")).alias("spans"),
     )
+
+
+@register
+def op11_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged by checksums of its rows, and its least repair."""
+    return dialogue.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+# Fixed value: the polynomial of the checksum, bits reversed.
+CHECKSUM = """list_reduce(
+    list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT),
+    lambda crc, byte: xor(crc >> 8, list_reduce(
+        range(8)::BIGINT[], lambda v, _: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END, xor(crc, byte) & 255)),
+    4294967295::BIGINT)"""
+
+
+def _least(*options: str) -> str:
+    return f"list_sort([{', '.join(options)}])[1]"
+
+
+def _edit(cost: str, letter: str, written: str, after: str) -> str:
+    line = f"{written} || CASE WHEN {after}.repaired = '' THEN '' ELSE chr(10) || {after}.repaired END" if written else f"{after}.repaired"
+    return f"{{'cost': ({cost} + {after}.cost)::BIGINT, 'audit': '{letter}' || {after}.audit, 'repaired': {line}}}"
+
+
+def _before(state: int, kept: dict[str, int], added: tuple[str, int]) -> str:
+    """The least edit of a row (``r``) from a state, given those behind it (``w.s0`` to ``w.s3``)."""
+    must, unfinished = "r.fault IN ('blank', 'duplicate')", "CASE WHEN r.fault = 'truncated' THEN 5 ELSE 0 END"
+    keep = "CASE " + " ".join(
+        f"WHEN NOT {must} AND r.role[1] = '{initial}' THEN {_edit(unfinished, 'K', "r.role || ':' || r.text", f'w.s{after}')}" for initial, after in kept.items()
+    ) + " END"
+    role, after = added
+    change = f"CASE WHEN NOT {must} THEN {_edit(f'1 + {unfinished}', 'R', f"'{role}:' || r.text", f'w.s{after}')} END"
+    return _least(_edit("2", "D", "", f"w.s{state}"), keep, change)
+
+
+def _with_insertion(state: int, role: str, after: int) -> str:
+    return _least(f"s{state}", _edit("5", "I", f"'{role}:'", f"s{after}"))
+
+
+def _end(cost: int, audit: str, repaired: str) -> str:
+    return f"{{'cost': {cost}::BIGINT, 'audit': '{audit}', 'repaired': {repaired}}}"
+
+
+SQL["op11_viterbi"] = f"""
+WITH RECURSIVE harmed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor({CHECKSUM.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")}, 4294967295) % 20 AS harm
+    FROM conversations
+), rows_left AS (
+    SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+        CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN harm = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM harmed WHERE harm <> 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+        lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before
+    FROM rows_left
+), said AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) AS said FROM placed
+), faulty AS (
+    SELECT conv_id, turn, role, text, before,
+        row_number() OVER (PARTITION BY conv_id ORDER BY place DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n,
+        CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN said > 1 THEN 'duplicate'
+            WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault
+    FROM said
+), walked AS (
+    SELECT DISTINCT conv_id, n, 0::BIGINT AS back, {_end(0, "", "''")} AS s0,
+        {_end(10, "II", "'user:' || chr(10) || 'assistant:'")} AS s1, {_end(5, "I", "'assistant:'")} AS s2, {_end(0, "", "''")} AS s3
+    FROM faulty
+    UNION ALL
+    SELECT conv_id, n, back, {_with_insertion(0, "user", 2)}, {_with_insertion(1, "user", 2)}, s2, s3 FROM (
+        SELECT conv_id, n, back, s0, s1, {_with_insertion(2, "assistant", 3)} AS s2, {_with_insertion(3, "user", 2)} AS s3 FROM (
+            SELECT w.conv_id, w.n, r.back, {_before(0, {"s": 1, "u": 2}, ("user", 2))} AS s0, {_before(1, {"u": 2}, ("user", 2))} AS s1,
+                {_before(2, {"a": 3}, ("assistant", 3))} AS s2, {_before(3, {"u": 2}, ("user", 2))} AS s3
+            FROM walked w JOIN faulty r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND r.back = w.back + 1
+        )
+    )
+), counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+        count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (before IS NOT NULL AND before[1] || role[1] NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM faulty GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+    coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(w.s0.cost, 0)::BIGINT AS cost,
+    coalesce(w.s0.audit, '') AS audit, sha256(coalesce(w.s0.repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN walked w ON a.conv_id IS NOT DISTINCT FROM w.conv_id AND w.back = w.n
+LEFT JOIN counted c ON a.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
