@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from devprism.llm import dialogue, langid, leaks, metric, mixing, neardup, passages, privacy, repeats, secrets, toxicity
+from devprism.llm import dialogue, langid, leaks, metric, mixing, neardup, passages, privacy, repeats, runs, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -244,3 +244,47 @@ FROM (SELECT DISTINCT conv_id FROM conversations) a
 LEFT JOIN walked w ON a.conv_id IS NOT DISTINCT FROM w.conv_id AND w.back = w.n
 LEFT JOIN counted c ON a.conv_id IS NOT DISTINCT FROM c.conv_id
 """
+
+
+@register
+def op12_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, some of them looped by the checksum of their id."""
+    return runs.find_runs(table(spark, sf_dir, "documents"))
+
+
+# A run has at least five words that come again a period later, so equal runs of five words tell all of them.
+SQL["op12_squares"] = f"""
+WITH numbered AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS original,
+        xor({CHECKSUM.format("doc_id::VARCHAR")}, 4294967295) AS h
+    FROM documents
+), aimed AS (
+    SELECT *, len(original) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(original) > 0 THEN (h // 10) % len(original) END AS a FROM numbered
+), ready AS (
+    SELECT r, doc_id, n, CASE WHEN a IS NULL THEN original ELSE list_transform(range(n), lambda i:
+        original[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS words
+    FROM aimed
+), listed AS (
+    SELECT r, n, unnest(words) AS word, unnest(range(n)) AS i FROM ready
+), grams AS (
+    SELECT r, n, i, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w || ' ' || lead(word, 3) OVER w || ' ' || lead(word, 4) OVER w AS gram
+    FROM listed WINDOW w AS (PARTITION BY r ORDER BY i)
+), again AS (
+    SELECT a.r, a.i, b.i - a.i AS q FROM grams a JOIN grams b ON a.r = b.r AND a.gram = b.gram AND b.i > a.i AND 4 * (b.i - a.i) <= a.n
+), stretches AS (
+    SELECT r, q, min(i) AS start, count(*) + 4 + q AS length
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM again) GROUP BY r, q, island
+), runs AS (
+    SELECT r, start, length, min(q) AS q FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length
+), per AS (
+    SELECT r, count(*) AS n_runs, first(start ORDER BY length DESC, start, q) AS start, max(length) AS length, first(q ORDER BY length DESC, start, q) AS period,
+        string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS listed
+    FROM runs GROUP BY r
+), kept AS (
+    SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM listed l
+    WHERE NOT EXISTS (SELECT 1 FROM runs u WHERE u.r = l.r AND l.i >= u.start + u.q AND l.i < u.start + u.length) GROUP BY r
+)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+    (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM ready d LEFT JOIN per USING (r) LEFT JOIN kept USING (r)
+"""
