@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from devprism.llm import dialogue, langid, leaks, metric, mixing, neardup, passages, privacy, repeats, runs, secrets, toxicity
+from devprism.llm import dialogue, jaccard, langid, leaks, metric, mixing, neardup, passages, privacy, repeats, runs, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -288,3 +288,37 @@ SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start,
     (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
 FROM ready d LEFT JOIN per USING (r) LEFT JOIN kept USING (r)
 """
+
+
+@register
+def op13_heavylight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles agree at 90 %."""
+    return jaccard.linked_components(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_heavylight"] = """
+WITH RECURSIVE worded AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents
+), shingled AS (
+    SELECT r, doc_id, list_sort(list_distinct(CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS shingles
+    FROM worded
+), classes AS (
+    SELECT row_number() OVER () AS c, shingles, len(shingles) AS n FROM (SELECT DISTINCT shingles FROM shingled WHERE len(shingles) > 0)
+), listed AS (
+    SELECT c, n, unnest(shingles) AS shingle FROM classes
+), links AS (
+    SELECT a.c, b.c AS d FROM listed a JOIN listed b ON a.shingle = b.shingle AND a.c < b.c AND a.n * 10 >= b.n * 9 AND b.n * 10 >= a.n * 9
+    GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), sides AS (
+    SELECT c, d FROM links UNION ALL SELECT d, c FROM links
+), reach AS (
+    SELECT c AS root, c AS node FROM classes UNION SELECT root, d FROM reach JOIN sides ON node = sides.c
+), firsts AS (
+    SELECT root, min(doc_id) AS component_id FROM reach JOIN classes ON node = classes.c JOIN shingled USING (shingles) GROUP BY root
+)
+SELECT doc_id, len(s.shingles)::BIGINT AS n_shingles, CASE WHEN len(s.shingles) = 0 THEN doc_id ELSE component_id END AS component_id
+FROM shingled s LEFT JOIN classes USING (shingles) LEFT JOIN firsts ON root = c
+"""
