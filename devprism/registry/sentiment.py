@@ -240,6 +240,13 @@ def fitted_topics_query(spark, sf_dir):
     return fitted_topics(spark, sf_dir)
 
 
+@query("hierarchical_topics", "K2")
+def hierarchical_topics(spark, sf_dir):
+    """Topics of the given vectors by hierarchical density on their first eight components."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return topicfit.hierarchical_topics(vectors, 64, min_cluster_size=10, min_samples=5, pca=8)
+
+
 @query("topic_experiments", "K11")
 def topic_experiments(spark, sf_dir):
     """All three rounds of experiments on topics that are fitted to the documents' own vectors."""

@@ -63,3 +63,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
+def deal(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition rows that cost much each, however few bytes they are.
+
+    Run-time coalescing goes by bytes and would leave a short table that a join multiplies to one task.
+    """
+    spark = df.sparkSession
+    wanted = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(wanted, *keys)
