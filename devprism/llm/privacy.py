@@ -112,7 +112,10 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, settings: Settings = Se
     words = words.groupBy("term").agg(F.count("*").alias("n_term"))
     total = texts.agg(F.count("*").alias("n")).scalar()
     known = pairs.join(entities, "entity").join(words, "term").withColumn("n", total)
-    disclosure = F.expr("ln(n * both / (n_entity * n_term)) / ln(n / n_entity)")
+    # An entity that every document holds carries no information, so nothing discloses it.
+    share = "double({}) / double({})"
+    joint = f"{share.format('both', 'n_entity')} * {share.format('n', 'n_term')}"
+    disclosure = F.expr(f"coalesce(try_divide(ln({joint}), ln({share.format('n', 'n_entity')})), 0)")
     return known.withColumn("disclosure", disclosure).filter(F.col("disclosure") >= settings.generalise).select("entity", "term", "disclosure")
 
 
