@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from heapq import heapify, heappop, heappush
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from devprism.functions.tokens import term_counts
-from devprism.runtime import at_most
+from devprism.runtime import at_most, broadcast_if_small, land
 
 OUTLIER = -1
 
@@ -140,45 +141,88 @@ def reduce_outliers(
 # --- merging and assignment ------------------------------------------------------------------
 
 
-def merge_plan(similarity: Sequence[tuple[int, int, float]], sizes: dict[int, int], nr_topics: int) -> dict[int, int]:
-    """Old topic to new topic: average linkage on the topic-by-topic summary.
+TREE = "merge int, a int, b int, height double, size bigint"
 
-    ``nr_topics`` counts the outlier topic. New topics are numbered by size.
+
+def _linkage(rows: pd.DataFrame) -> pd.DataFrame:
+    """Merges in their order, from rows ``(a, b, value)``: cosines, and sizes where ``b`` is missing.
+
+    A heap holds the similarities of current groups; those of merged groups are recognised by their version. A group
+    is named by its smallest topic. Groups that share nothing have similarity 0, as have those with a negative one, and
+    merge last, the smallest first.
     """
-    groups = {t: [t] for t in sizes if t != OUTLIER}
-    cosine = {frozenset((a, b)): s for a, b, s in similarity}
-    linkage = {
-        frozenset((a, b)): cosine.get(frozenset((a, b)), 0.0) for a in groups for b in groups if a < b
-    }
-    while len(groups) > max(nr_topics - 1, 1):
-        pair = max(linkage, key=lambda p: (linkage[p], [-t for t in sorted(p)]))
-        keep, gone = sorted(pair)
-        na, nb = len(groups[keep]), len(groups[gone])
-        for other in groups:
-            if other in pair:
-                continue
-            to_keep, to_gone = frozenset((keep, other)), frozenset((gone, other))
-            linkage[to_keep] = (na * linkage[to_keep] + nb * linkage.pop(to_gone)) / (na + nb)
-        linkage.pop(pair)
-        groups[keep] += groups.pop(gone)
-    ordered = sorted(groups.values(), key=lambda g: (-sum(sizes[t] for t in g), min(g)))
-    return {OUTLIER: OUTLIER, **{t: i for i, g in enumerate(ordered) for t in g}}
-
-
-def merge_topics(assigned: DataFrame, scores: DataFrame, nr_topics: int = 11, max_topics: int = 2000) -> DataFrame:
-    """Merge similar topics until ``nr_topics`` labels are left, the outlier label included.
-
-    Only the topic-by-topic summary reaches the driver, after its size is checked; documents are
-    relabelled by an expression.
+    alone = rows["b"].isna()
+    size = {int(t): int(n) for t, n in zip(rows["a"][alone], rows["value"][alone])}
+    topics_in = dict.fromkeys(size, 1)
+    near: dict[int, dict[int, float]] = {t: {} for t in size}
+    for a, b, cosine in zip(rows["a"][~alone], rows["b"][~alone].astype(int), rows["value"][~alone]):
+        if a in near and b in near and cosine > 0:
+            near[a][b] = near[b][a] = cosine
+    heap = [(-s, a, b, 0, 0) for a, to in near.items() for b, s in to.items() if a < b]
+    heapify(heap)
+    version = dict.fromkeys(size, 0)
+    merges: list[tuple[int, int, int, float, int]] = []
+
+    def join(keep: int, gone: int, height: float) -> None:
+        na, nb = topics_in[keep], topics_in.pop(gone)
+        old, lost = near.pop(keep), near.pop(gone)
+        mean = {o: (na * old.get(o, 0.0) + nb * lost.get(o, 0.0)) / (na + nb) for o in old.keys() | lost.keys() if o not in (keep, gone)}
+        near[keep], topics_in[keep] = mean, na + nb
+        size[keep] += size.pop(gone)
+        version[keep] += 1
+        del version[gone]
+        for o, s in mean.items():
+            near[o].pop(gone, None)
+            near[o][keep] = s
+            a, b = sorted((keep, o))
+            heappush(heap, (-s, a, b, version[a], version[b]))
+        merges.append((len(merges), keep, gone, height, size[keep]))
+
+    while heap:
+        s, a, b, va, vb = heappop(heap)
+        if version.get(a) == va and version.get(b) == vb and near[a].get(b) == -s:
+            join(a, b, -s)
+    rest = sorted(size)
+    for other in rest[1:]:
+        join(rest[0], other, 0.0)
+    return pd.DataFrame(merges, columns=["merge", "a", "b", "height", "size"])
+
+
+def linkage_tree(similarity: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``(merge, a, b, height, size)``: average linkage of all real topics, most similar groups first.
+
+    ``similarity(a, b, cosine)`` holds topics that share a term, ``sizes(topic, n)`` all topics. The tree does not depend on a
+    wanted number of topics; each is a cut of it. Only this topic-by-topic summary passes through one task.
     """
-    sizes = assigned.groupBy("topic").agg(F.count("*").alias("n"))
-    if not at_most(sizes, max_topics):
-        raise ValueError(f"more than {max_topics} topics: raise the minimum cluster size first")
-    summary = [(r.a, r.b, r.cosine) for r in topic_similarity(scores).collect()]
-    plan = merge_plan(summary, {r.topic: r.n for r in sizes.collect()}, nr_topics)
-    pairs = [F.lit(x) for item in plan.items() for x in item]
-    new = F.try_element_at(F.create_map(*pairs), F.col("topic"))
-    return assigned.withColumn("topic", F.coalesce(new, F.lit(OUTLIER)))
+    alone = sizes.filter(F.col("topic") > OUTLIER).select(F.col("topic").alias("a"), F.lit(None).cast("int").alias("b"), F.col("n").cast("double").alias("value"))
+    rows = similarity.select("a", F.col("b").cast("int").alias("b"), F.col("cosine").alias("value")).unionByName(alone)
+    return rows.groupBy().applyInPandas(_linkage, TREE)
+
+
+def cut_tree(tree: DataFrame, sizes: DataFrame, nr_topics: int) -> DataFrame:
+    """``(topic, merged)`` with ``nr_topics`` labels, the outlier label included; the new ones are numbered by size."""
+
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        known = rows["merge"].isna()
+        groups = {int(t): [int(t)] for t in rows["a"][known]}
+        size = {int(t): int(n) for t, n in zip(rows["a"][known], rows["size"][known])}
+        merges = rows[~known].sort_values("merge")
+        for a, b in list(zip(merges["a"], merges["b"].astype(int)))[: max(len(groups) - max(nr_topics - 1, 1), 0)]:
+            groups[int(a)] += groups.pop(int(b))
+        ordered = sorted(groups.values(), key=lambda g: (-sum(size[t] for t in g), min(g)))
+        return pd.DataFrame([(t, i) for i, g in enumerate(ordered) for t in g], columns=["topic", "merged"])
+
+    alone = sizes.filter(F.col("topic") > OUTLIER).select(F.lit(None).cast("int").alias("merge"), F.col("topic").alias("a"), F.lit(None).cast("int").alias("b"), F.col("n").alias("size"))
+    rows = tree.select("merge", "a", "b", "size").unionByName(alone)
+    return rows.groupBy().applyInPandas(cut, "topic int, merged int")
+
+
+def merge_topics(assigned: DataFrame, scores: DataFrame, nr_topics: int = 11) -> DataFrame:
+    """Merge similar topics until ``nr_topics`` labels are left, the outlier label included."""
+    sizes = land(assigned.groupBy("topic").agg(F.count("*").alias("n")), "topic_sizes")
+    new = land(cut_tree(linkage_tree(topic_similarity(scores), sizes), sizes, nr_topics), "merged_topics")
+    named = assigned.join(broadcast_if_small(new), "topic", "left")
+    return named.withColumn("topic", F.coalesce("merged", F.lit(OUTLIER))).select(*assigned.columns)
 
 
 def topic_centroids(vectors: DataFrame, assigned: DataFrame, width: int, id: str = "doc_id") -> DataFrame:

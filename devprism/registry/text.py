@@ -402,3 +402,11 @@ def topic_assignment(spark, sf_dir):
 def merged_topics(spark, sf_dir):
     docs = land(topic_docs(spark, sf_dir), "topic_docs")
     return ops.merge_topics(docs.select("doc_id", "topic"), land(ops.class_tfidf(docs), "scores"), nr_topics=3)
+
+
+@query("topic_tree", "K5")
+def topic_tree(spark, sf_dir):
+    """The order in which all topics merge by average linkage."""
+    docs = land(topic_docs(spark, sf_dir), "topic_docs")
+    sizes = docs.groupBy("topic").agg(F.count("*").alias("n"))
+    return ops.linkage_tree(ops.topic_similarity(ops.class_tfidf(docs)), sizes)

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -288,7 +289,47 @@ def test_split_is_stable(spark):
     assert a == b and 120 < list(a.values()).count("validation") < 280
 
 
-def test_merge_plan():
-    sizes = {-1: 5, 0: 10, 1: 9, 2: 8, 3: 1}
-    plan = topics.merge_plan([(0, 1, 0.1), (2, 3, 0.9), (0, 2, 0.2)], sizes, 4)
-    assert plan[-1] == -1 and plan[2] == plan[3] and len(set(plan.values())) == 4
+def plain_linkage(similarity, sizes):
+    """Average linkage by looking at all pairs before every merge; the most similar pair, then the smallest."""
+    groups = {t: [t] for t in sizes if t != -1}
+    cosine = {frozenset(p[:2]): p[2] for p in similarity}
+    link = {frozenset((a, b)): cosine.get(frozenset((a, b)), 0.0) for a in groups for b in groups if a < b}
+    merges = []
+    while len(groups) > 1:
+        pair = max(link, key=lambda p: (link[p], [-t for t in sorted(p)]))
+        keep, gone = sorted(pair)
+        na, nb = len(groups[keep]), len(groups[gone])
+        height = link.pop(pair)
+        for o in groups:
+            if o not in pair:
+                link[frozenset((keep, o))] = (na * link[frozenset((keep, o))] + nb * link.pop(frozenset((gone, o)))) / (na + nb)
+        groups[keep] += groups.pop(gone)
+        merges.append((len(merges), keep, gone, height, sum(sizes[t] for t in groups[keep])))
+    return merges
+
+
+@pytest.mark.parametrize("seed,n,share", [(1, 12, 0.5), (2, 25, 0.15), (3, 25, 1.0), (4, 1, 1.0), (5, 9, 0.0)])
+def test_linkage_tree(spark, seed, n, share):
+    rng = random.Random(seed)
+    sizes = {-1: 7, **{t * 2: rng.randrange(1, 9) for t in range(n)}}
+    similarity = [(a, b, rng.choice([0.25, 0.5, 0.75, rng.random()])) for a in sizes for b in sizes if -1 < a < b and rng.random() < share]
+    frames = spark.createDataFrame(similarity, "a int, b int, cosine double"), spark.createDataFrame(list(sizes.items()), "topic int, n bigint")
+    tree = topics.linkage_tree(*frames)
+    got, want = [tuple(r) for r in tree.orderBy("merge").collect()], plain_linkage(similarity, sizes)
+    assert [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in want]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want])
+    for wanted in (1, 2, 4, n + 5):
+        groups = {t: [t] for t in sizes if t != -1}
+        for _, a, b, *_ in want[: max(n - max(wanted - 1, 1), 0)]:
+            groups[a] += groups.pop(b)
+        ordered = sorted(groups.values(), key=lambda g: (-sum(sizes[t] for t in g), min(g)))
+        cut = {r.topic: r.merged for r in topics.cut_tree(tree, frames[1], wanted).collect()}
+        assert cut == {t: i for i, g in enumerate(ordered) for t in g}
+
+
+def test_merged_topics_keep_columns_and_outliers(spark):
+    docs = spark.createDataFrame([(1, 0, "x"), (2, 1, "y"), (3, 2, "z"), (4, -1, "w"), (5, 2, "v")], "doc_id int, topic int, terms string")
+    scores = spark.createDataFrame([(0, "p", 1.0), (1, "p", 0.5), (2, "q", 1.0), (-1, "p", 1.0)], "topic int, term string, score double")
+    got = topics.merge_topics(docs, scores, 3)
+    assert got.columns == docs.columns
+    assert {r.doc_id: r.topic for r in got.collect()} == {1: 0, 2: 0, 3: 1, 4: -1, 5: 1}
