@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from devprism.functions.tokens import term_counts
-from devprism.runtime import at_most, broadcast_if_small, land
+from devprism.runtime import at_most, broadcast_if_small, land, summarised
 
 OUTLIER = -1
 
@@ -196,7 +196,7 @@ def linkage_tree(similarity: DataFrame, sizes: DataFrame) -> DataFrame:
     """
     alone = sizes.filter(F.col("topic") > OUTLIER).select(F.col("topic").alias("a"), F.lit(None).cast("int").alias("b"), F.col("n").cast("double").alias("value"))
     rows = similarity.select("a", F.col("b").cast("int").alias("b"), F.col("cosine").alias("value")).unionByName(alone)
-    return rows.groupBy().applyInPandas(_linkage, TREE)
+    return summarised(rows, _linkage, TREE)
 
 
 def cut_tree(tree: DataFrame, sizes: DataFrame, nr_topics: int) -> DataFrame:
@@ -214,7 +214,7 @@ def cut_tree(tree: DataFrame, sizes: DataFrame, nr_topics: int) -> DataFrame:
 
     alone = sizes.filter(F.col("topic") > OUTLIER).select(F.lit(None).cast("int").alias("merge"), F.col("topic").alias("a"), F.lit(None).cast("int").alias("b"), F.col("n").alias("size"))
     rows = tree.select("merge", "a", "b", "size").unionByName(alone)
-    return rows.groupBy().applyInPandas(cut, "topic int, merged int")
+    return summarised(rows, cut, "topic int, merged int")
 
 
 def merge_topics(assigned: DataFrame, scores: DataFrame, nr_topics: int = 11) -> DataFrame:

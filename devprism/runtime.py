@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +75,20 @@ def deal(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     wanted = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(wanted, *keys)
+
+
+def in_order(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema, *order: str) -> DataFrame:
+    """Rows of a table of summaries, or of checked length, pass one task batch by batch, sorted if asked."""
+    rows = df.repartition(1)
+    return (rows.sortWithinPartitions(*order) if order else rows).mapInPandas(run, schema)
+
+
+def summarised(df: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
+    """``run`` on a whole table of summaries, such as topics by topics, in one task; no rows stay none."""
+
+    def at_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if held:
+            yield run(pd.concat(held, ignore_index=True))
+
+    return in_order(df, at_once, schema)
