@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from devprism.functions import migration, records
@@ -138,7 +140,7 @@ def delimited_round_trip(spark, sf_dir):
     """Write the orders as a quoted multi-line file in the shared folder and read it back typed."""
     note = F.concat("o_orderpriority", F.lit('\n"'), "o_orderstatus", F.lit('", x'))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", note.alias("note"), "o_totalprice")
-    path = f"{shared_folder(spark)}/devprism/orders-{spark.sparkContext.applicationId}"
+    path = f"{shared_folder(spark)}/devprism/orders-{uuid.uuid4().hex}"
     orders.write.mode("overwrite").options(header=True, sep=";", escape='"').csv(path)
     return files.read_scsv(spark, path, {"o_orderkey": "bigint", "o_totalprice": "double"})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import pandas as pd
@@ -211,7 +212,7 @@ def text_documents(spark, sf_dir):
 @query("document_vectors", "K1 S6")
 def document_vectors(spark, sf_dir):
     """The four vector variants, saved and read back one variant at a time."""
-    stages = st.Stages(spark, f"{shared_folder(spark)}/devprism/vectors-{spark.sparkContext.applicationId}")
+    stages = st.Stages(spark, f"{shared_folder(spark)}/devprism/vectors-{uuid.uuid4().hex}")
     st.write_embeddings(stages, topicfit.four_variants(text_documents(spark, sf_dir)))
     names = ["small_clean", "small_raw", "large_clean", "large_raw"]
     read = [st.read_embeddings(stages, n).select("doc_id", F.lit(n).alias("variant"), F.size("embedding").alias("width")) for n in names]
@@ -223,7 +224,7 @@ def document_vectors(spark, sf_dir):
     "SELECT vec_id AS doc_id, array_to_string(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), ',') AS v FROM embeddings",
 )
 def saved_vectors(spark, sf_dir):
-    stages = st.Stages(spark, f"{shared_folder(spark)}/devprism/saved-{spark.sparkContext.applicationId}")
+    stages = st.Stages(spark, f"{shared_folder(spark)}/devprism/saved-{uuid.uuid4().hex}")
     given = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit("given").alias("variant"), "embedding")
     st.write_embeddings(stages, given)
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000000).cast("string"))
