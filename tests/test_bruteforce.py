@@ -95,6 +95,16 @@ def test_density(spark, eps, least):
     assert flags == {i * 3 + 1: bool(c) for i, c in enumerate(core)}
 
 
+@pytest.mark.parametrize("width,eps,least", [(1, 0.2, 6), (3, 0.7, 5), (20, 9.0, 4)])
+def test_density_in_other_widths_with_crowded_cells(spark, monkeypatch, width, eps, least):
+    monkeypatch.setattr(density, "CELL_ROWS", 3)
+    x = fixture(width=width)
+    core, label = dbscan(x, eps, least)
+    assert 0 < core.sum() < len(x)
+    expected = {i * 3 + 1: (int(c) * 3 + 1 if c >= 0 else -1) for i, c in enumerate(label)}
+    assert {r.id: r.cluster for r in density.density_cluster(frame(spark, x), eps, least, width).collect()} == expected
+
+
 def test_density_grid(spark):
     x = fixture(150, 2)
     radii, least = [0.2, 0.35, 0.6], [3, 6, 80]
