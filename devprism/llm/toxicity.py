@@ -141,10 +141,11 @@ class Scorer:
         total = most = count = 0.0
         at = 0
         while m := self.hit.search(low, at):
-            start = max((low.rfind(c, 0, m.start()) for c in ".!?;:,\n"), default=-1) + 1
+            # The last clause ended at ``at``, so signs before it need no second look.
+            start = max(at - 1, *(low.rfind(c, at, m.start()) for c in ".!?;:,\n")) + 1
             stop = CLAUSE_END.search(low, m.end())
             at = stop.end() if stop else len(low)
-            weight = self.clause(low[max(start, 0) : stop.start() if stop else len(low)])
+            weight = self.clause(low[start : stop.start() if stop else len(low)])
             total, most, count = total + weight, max(most, weight), count + (weight > 0)
         return math.log1p(total), most, math.log1p(count), total / (10 + len(low) / 100)
 
@@ -156,14 +157,14 @@ class Scorer:
 def labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """``text, toxic`` of at most ``max_rows`` labelled rows, chosen by a hash of the id.
 
-    Ids with several labels count as toxic if one says so; null labels and ids are left out.
+    Ids with several labels count as toxic if one says so, as do equal texts; null labels and ids are left out.
     """
     sample = (
         pick(labels, doc_id="bigint", toxic="int").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
     rows = pick(docs, doc_id="bigint", text="string").filter("text is not null")
-    return rows.join(F.broadcast(sample), "doc_id").select("text", "toxic").dropDuplicates(["text"])
+    return rows.join(F.broadcast(sample), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
