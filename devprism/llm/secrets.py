@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -80,6 +82,20 @@ def window_entropies(run: str, width: int) -> list[float]:
     return out
 
 
+class Ranges:
+    """Ranges that are asked which of them meet another; each answer is one binary search."""
+
+    def __init__(self, ranges: list[tuple[int, int]]):
+        ranges = sorted(ranges)
+        self.starts = [s for s, _ in ranges]
+        self.ends = list(accumulate((e for _, e in ranges), max))
+
+    def meet(self, start: int, end: int) -> bool:
+        """Whether a range begins before ``end`` and one of those that do ends after ``start``."""
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.ends[before - 1] > start
+
+
 class Scanner:
     """Finds the spans of one text; built once per task."""
 
@@ -127,13 +143,13 @@ class Scanner:
 
     def dense(self, candidate: str) -> list[tuple[int, int]]:
         """Runs of windows over their bound, as merged ranges."""
-        marked, samples = [], self.samples(candidate)
+        marked, samples = [], Ranges(self.samples(candidate))
         for run, width, bits in self.classes:
             for m in run.finditer(candidate):
                 if self.allowed(m[0]):
                     continue
                 for i, entropy in enumerate(window_entropies(m[0], width), m.start()):
-                    if entropy >= bits and not any(s < i + width and i < e for s, e in samples):
+                    if entropy >= bits and not samples.meet(i, i + width):
                         marked.append((i, i + width))
         merged: list[tuple[int, int]] = []
         for start, end in sorted(marked):
@@ -147,14 +163,14 @@ class Scanner:
         """``(start, kind, end)`` in code points, by start and kind."""
         if not text:
             return []
-        base = self.base(text)
-        more = []
+        base, more = self.base(text), []
+        fixed = Ranges([(s, e) for s, _, e in base])
         for m in self.candidate.finditer(text):
             if self.allowed(m[0]):
                 continue
             for start, end in self.dense(m[0]):
                 start, end = start + m.start(), end + m.start()
-                if not any(s < end and start < e for s, _, e in base):
+                if not fixed.meet(start, end):
                     more.append((start, 3, end))
         return sorted(base + more)
 
@@ -181,19 +197,24 @@ def find_secrets(docs: DataFrame, settings: Entropy = Entropy()) -> DataFrame:
     return rows.select("doc_id", secret_spans(F.col("text"), settings).alias("secrets"))
 
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each group of overlapping spans replaced by ``mark``."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+def mask(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """``text`` with each group of overlapping ranges, given by start, replaced by ``mark``."""
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
 
-    def step(acc: Column, span: Column) -> Column:
-        fresh = span["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, F.greatest(span["start"] - acc["at"], F.lit(0)))
-        return F.struct(
-            F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], span["end"]).alias("at"),
-        )
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """The text with each group of overlapping spans replaced by ``mark``; texts without spans, and null, stay as they are."""
 
-    def rest(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text)))
+    @F.pandas_udf("string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, found in batches:
+            yield pd.Series([mask(t, [(s["start"], s["end"]) for s in f], mark) for t, f in zip(texts, found)], dtype="object")
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, rest))
+    hit = F.size(spans) > 0
+    # Only texts that change travel to Python a second time.
+    return F.when(hit, run(F.when(hit, text).otherwise(""), F.when(hit, spans).otherwise(F.array().cast(SPAN)))).otherwise(text)
