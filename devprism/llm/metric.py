@@ -4,11 +4,13 @@ Vectors get one more component, ``sqrt(M - |x|**2)`` with ``M`` the largest squa
 for a query with 0 there the Euclidean distance orders as the inner product. An M-tree keeps for each
 node a routing object, a covering radius and the distance to its parent's object; leaves are pages of
 entries with their distance to the page's object. By the triangle inequality the stored distances rule
-out nodes and entries without computing theirs.
+out nodes and entries without computing theirs. A block of queries walks a tree together: each
+keeps its own bounds, and a page is compared with all queries that reach it in one matrix product.
 
 Spark deals the vectors to parts around pivots; a part with many vectors is split by a hash, whatever its
 vectors are. Each query first searches one part. What it finds there bounds its k-th score, and only
-parts that can beat that bound are searched next.
+parts that can beat that bound are searched next. A part is copied only as often as the queries that
+reach it fill blocks.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from devprism.llm.common import pick
-from devprism.runtime import land
+from devprism.runtime import deal, land
 
 FOUND = "rid bigint, query_id bigint, other bigint, vec_id bigint, score bigint"
 
@@ -34,7 +36,7 @@ class Settings:
     k: int = 5
     page: int = 64
     fanout: int = 16
-    #: Vectors of a part (one tree), pivots at most, rows they are chosen from, queries searched with one copy of a part.
+    #: Vectors of a part (one tree), pivots at most, rows they are chosen from, queries that one copy of a part answers.
     part_rows: int = 16384
     pivots: int = 1024
     pivot_sample: int = 4096
@@ -60,12 +62,14 @@ class MTree:
         squares = (x * x).sum(axis=1).astype(np.float64)
         self.most = float(squares.max()) if len(x) else 0.0
         self.lift = np.hstack([x.astype(np.float64), np.sqrt(self.most - squares)[:, None]])
+        self.real = x.astype(np.float64)
         #: Rounding of distances stays below this share.
         self.slack = 1e-9 * (1 + np.sqrt(2 * self.most))
         self.root = self._load(np.arange(len(x)), 0, 0.0) if len(x) else None
 
     def _distances(self, rows: np.ndarray, center: int) -> np.ndarray:
-        return np.sqrt(((self.lift[rows] - self.lift[center]) ** 2).sum(axis=1))
+        apart = self.lift[rows] - self.lift[center]
+        return np.sqrt(np.einsum("ij,ij->i", apart, apart))
 
     def _load(self, rows: np.ndarray, center: int, up: float) -> Node:
         node = Node(center, up)
@@ -91,60 +95,80 @@ class MTree:
         node.centers = np.array([c.center for c in node.children])
         return node
 
-    def search(self, q: np.ndarray, own: int, k: int, bound: int | None) -> list[tuple[int, int, int]]:
-        """The best ``(score, -id, row)`` that reach ``bound``, highest score first, ties to the smaller id."""
-        if self.root is None:
-            return []
-        square = float((q * q).sum()) + self.most
-        target = np.append(q.astype(np.float64), 0.0)
-        found: list[tuple[int, int, int]] = []  # a heap with the worst of the best on top
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per query the best ``k`` scores that reach its bound, ties to the smaller id, and their rows; -1 where there are fewer.
 
-        def limit() -> float:
-            """Distance beyond which nothing can enter."""
-            score = found[0][0] if len(found) == k else bound
-            score = score if bound is None or score is None else max(score, bound)
-            return np.inf if score is None else np.sqrt(max(square - 2.0 * score, 0.0)) + self.slack
+        A node waits with the queries that may need it and their distances to its object, nearest node first.
+        """
+        score, row = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1)
+        if self.root is None or not len(queries):
+            return score, row
+        real = queries.astype(np.float64)
+        length = np.sqrt((real * real).sum(axis=1))
+        square, slack = length * length + self.most, self.slack + 1e-12 * length
+        # No partial sum of a product exceeds the product of the lengths, so doubles are exact below 2**52.
+        exact = np.sqrt(self.most) * length.max() < 2.0**52
+
+        def scores(rows: np.ndarray, who: np.ndarray) -> np.ndarray:
+            return real[who] @ self.real[rows].T if exact else (queries[who] @ self.x[rows].T).astype(np.float64)
+
+        def away(rows: np.ndarray, who: np.ndarray) -> np.ndarray:
+            return np.sqrt(np.maximum(square[who, None] - 2.0 * scores(rows, who), 0.0))
 
-        def distance(rows: np.ndarray) -> np.ndarray:
-            return np.sqrt(((self.lift[rows] - target) ** 2).sum(axis=1))
+        def reach(who: np.ndarray) -> np.ndarray:
+            """Distance beyond which nothing can enter."""
+            return np.sqrt(np.maximum(square[who] - 2.0 * np.maximum(score[who, -1], bound[who]), 0.0)) + slack[who]
 
-        first = float(distance(np.array([self.root.center]))[0])
-        queue = [(max(first - self.root.radius, 0.0), 0, first, self.root)]
+        everyone = np.arange(len(queries))
+        queue = [(0.0, 0, everyone, away(np.array([self.root.center]), everyone)[:, 0], self.root)]
         pushed = 1
         while queue:
-            least, _, here, node = heapq.heappop(queue)
-            reach = limit()
-            if least > reach:
-                break
+            _, _, who, here, node = heapq.heappop(queue)
+            limit = reach(who)
+            still = here - node.radius <= limit
+            who, here, limit = who[still], here[still, None], limit[still, None]
+            if not len(who):
+                continue
             if node.rows is None:
-                near = np.flatnonzero(np.abs(here - node.ups) - node.radii <= reach)
-                for i, d in zip(near.tolist(), distance(node.centers[near]).tolist()):
-                    low = max(d - node.children[i].radius, 0.0)
-                    if low <= reach:
-                        heapq.heappush(queue, (low, pushed, d, node.children[i]))
-                        pushed += 1
+                near = np.abs(here - node.ups) - node.radii <= limit
+                some = np.flatnonzero(near.any(axis=0))
+                far = away(node.centers[some], who)
+                low = np.maximum(far - node.radii[some], 0.0)
+                near = near[:, some] & (low <= limit)
+                for j in np.flatnonzero(near.any(axis=0)).tolist():
+                    mine = near[:, j]
+                    heapq.heappush(queue, (float(low[mine, j].mean()), pushed, who[mine], far[mine, j], node.children[some[j]]))
+                    pushed += 1
                 continue
-            rows = node.rows[np.abs(here - node.away) <= reach]
-            for row, score in zip(rows.tolist(), (self.x[rows] @ q).tolist()):
-                if self.rids[row] == own or (bound is not None and score < bound):
-                    continue
-                entry = (score, -int(self.ids[row]), row)
-                if len(found) < k:
-                    heapq.heappush(found, entry)
-                elif entry > found[0]:
-                    heapq.heapreplace(found, entry)
-        return sorted(found, reverse=True)
+            near = np.abs(here - node.away) <= limit
+            some = np.flatnonzero(near.any(axis=0))
+            rows = node.rows[some]
+            got = scores(rows, who)
+            worst = np.maximum(score[who, -1], bound[who])[:, None]
+            fits = near[:, some] & (got >= worst) & (self.rids[rows] != own[who, None])
+            better = np.flatnonzero(fits.any(axis=1))
+            who, fits = who[better], fits[better]
+            both = np.hstack([score[who], np.where(fits, got[better], -np.inf)])
+            its = np.hstack([row[who], np.where(fits, rows, -1)])
+            ids = np.where(its >= 0, self.ids[its], np.iinfo(np.int64).max)
+            order = np.lexsort((ids, -both), axis=-1)[:, :k]
+            score[who], row[who] = np.take_along_axis(both, order, 1), np.take_along_axis(its, order, 1)
+        return score, row
 
 
 def _search(settings: Settings):
     def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(queries) and len(vectors):
-            tree = MTree(np.stack(vectors["x"].to_list()), vectors["vec_id"].to_numpy(), vectors["rid"].to_numpy(), settings)
-            for rid, query_id, q, bound in zip(queries["rid"], queries["vec_id"], queries["x"], queries["bound"]):
-                for score, _, row in tree.search(q, rid, settings.k, None if pd.isna(bound) else int(bound)):
-                    out.append((rid, query_id, int(tree.rids[row]), int(tree.ids[row]), score))
-        return pd.DataFrame(out, columns=["rid", "query_id", "other", "vec_id", "score"])
+        columns = ["rid", "query_id", "other", "vec_id", "score"]
+        if not len(queries) or not len(vectors):
+            return pd.DataFrame([], columns=columns)
+        tree = MTree(np.stack(vectors["x"].to_list()), vectors["vec_id"].to_numpy(), vectors["rid"].to_numpy(), settings)
+        rid, query_id = queries["rid"].to_numpy(), queries["vec_id"].to_numpy()
+        bound = queries["bound"].to_numpy(np.float64, na_value=-np.inf)
+        score, row = tree.search(np.stack(queries["x"].to_list()), rid, settings.k, np.where(np.isnan(bound), -np.inf, bound))
+        query, place = np.nonzero(row >= 0)
+        hit = row[query, place]
+        values = rid[query], query_id[query], tree.rids[hit], tree.ids[hit], score[query, place].astype(np.int64)
+        return pd.DataFrame(dict(zip(columns, values)))
 
     return run
 
@@ -181,16 +205,19 @@ def _of_length(vectors: DataFrame, n: int, settings: Settings) -> DataFrame:
     stats = {r["part"]: (r["radius"], max(1, -(-r["n"] // settings.part_rows))) for r in dealt.groupBy("part").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect()}
     salts = F.create_map(*[F.lit(int(v)) for part, (_, salt) in stats.items() for v in (part, salt)])
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("rid"), salts[F.col("part")]).cast("bigint"))
-    queries = dealt.filter("vec_id % 50 = 0").select("rid", "vec_id", "x", F.col("part").alias("home"), F.col("salt").alias("home_salt"))
-    blocks = max(1, -(-queries.count() // settings.query_block))
-    queries = land(queries.withColumn("block", F.pmod(F.xxhash64("rid", F.lit(3)), F.lit(blocks)).cast("bigint")), "search_queries")
-    copies = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    copies = copies.groupBy("part", "salt", "block")
+    queries = land(dealt.filter("vec_id % 50 = 0").select("rid", "vec_id", "x", F.col("part").alias("home"), F.col("salt").alias("home_salt")), "search_queries")
 
     def searched(asked: DataFrame) -> DataFrame:
-        return asked.groupBy("part", "salt", "block").cogroup(copies).applyInPandas(_search(settings), FOUND)
-
-    home = queries.withColumn("part", F.col("home")).withColumn("salt", F.col("home_salt")).withColumn("bound", F.lit(None).cast("bigint"))
+        """Found rows of ``asked(rid, part, salt, bound)``; a part meets its queries block by block."""
+        tree = ["part", "salt"]
+        blocks = land(asked.groupBy(*tree).agg(F.ceil(F.count("*") / settings.query_block).alias("blocks")), "query_blocks")
+        copies = dealt.join(blocks, tree).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        wanted = asked.join(blocks, tree).withColumn("block", F.pmod(F.xxhash64("rid", F.lit(3)), "blocks"))
+        wanted = wanted.join(queries.select("rid", "vec_id", "x"), "rid")
+        sides = [deal(side, *tree, "block").groupBy(*tree, "block") for side in (wanted.drop("blocks"), copies.drop("blocks"))]
+        return sides[0].cogroup(sides[1]).applyInPandas(_search(settings), FOUND)
+
+    home = queries.select("rid", F.col("home").alias("part"), F.col("home_salt").alias("salt"), F.lit(None).cast("bigint").alias("bound"))
     first = land(searched(home), "home_found")
     bounds = first.groupBy("rid").agg(F.when(F.count("*") >= settings.k, F.min("score")).alias("bound"))
 
@@ -209,8 +236,8 @@ def _of_length(vectors: DataFrame, n: int, settings: Settings) -> DataFrame:
             out.append(chosen)
         return pd.Series(out)
 
-    left = queries.join(bounds, "rid", "left")
-    asked = left.withColumn("p", F.explode(worth("x", "bound", "home", "home_salt"))).select("rid", "vec_id", "x", "block", "bound", "p.part", "p.salt")
+    left = queries.join(bounds, "rid", "left").withColumn("p", F.explode(worth("x", "bound", "home", "home_salt")))
+    asked = land(left.select("rid", "p.part", "p.salt", "bound"), "asked_parts")
     return first.unionByName(searched(asked))
 
 

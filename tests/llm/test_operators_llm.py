@@ -365,3 +365,19 @@ def test_words_not_in_the_package():
 
 def test_word_rule():
     assert len(neardup.shingle_sets(["A b c  a"], 2)[0]) == 2 and re.match(r"[^\x20\x09-\x0D]+", " ")
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 22])  # the products of the larger one do not fit a double on the way
+def test_tree_search_in_blocks(scale):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.integers(-30, 30, (500, 6)), np.full((60, 6), 7), rng.integers(-9, 9, (40, 6)) * 20]) * scale
+    ids, rids = rng.permutation(len(x)) // 2, np.arange(len(x))
+    tree = metric.MTree(x, ids, rids, metric.Settings(page=8, fanout=4))
+    own = np.array([3, 520, 599, 10_000])
+    queries = np.vstack([x[own[:3]], np.zeros((1, 6), np.int64)])
+    full = queries @ x.T
+    for bound in (np.full(4, -np.inf), np.sort(full, axis=1)[:, -3].astype(float)):
+        score, row = tree.search(queries, own, 5, bound)
+        for q in range(4):
+            want = sorted((-int(s), int(i)) for s, i, r in zip(full[q], ids, rids) if r != own[q] and s >= bound[q])[:5]
+            assert [(-int(s), int(ids[r])) for s, r in zip(score[q], row[q]) if r >= 0] == want
