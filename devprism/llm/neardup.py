@@ -248,8 +248,19 @@ def _across(dealt: DataFrame, labels: DataFrame, settings: Settings) -> DataFram
     return ones.unionByName(twos.drop("stray_blocks").withColumn("side", F.lit(2)))
 
 
-def one_of_each(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: kept documents, repeated rows once, and rows without an id."""
-    kept = decided.filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.filter("doc_id is null"))
+#: Keys of rows without an id start here, so a row with an id stays rather than its copies without.
+UNNAMED_FROM = 1 << 62
+
+
+def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, and every text without words.
+
+    Rows that repeat id and text stay once. Rows without an id count as one row per text, and stay only if no row
+    of their component has an id; rows without id and text are one. An id with several texts stays with all of
+    them if one is kept. An empty table gives no rows.
+    """
+    unnamed = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(UNNAMED_FROM)
+    keyed = docs.withColumn("_key", F.coalesce("doc_id", unnamed))
+    decided = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), settings)
+    kept = decided.filter("kept").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key", "text"]).drop("_key")
