@@ -9,6 +9,7 @@ from devprism.registry.core import query
 from devprism.registry.tables import (
     PLACES, comment_sentiment, commits, issue_topics, sql, sql_mean, sql_sum,
 )
+from devprism.runtime import land
 
 MEANS = ", ".join(f"{sql_mean(c)} AS {c}" for c in ops.MEAN_METRICS)
 SUMS = ", ".join(f"{sql_sum(c)} AS {c}_sum" for c in ops.SUM_METRICS)
@@ -159,7 +160,7 @@ def feature_correlation(spark, sf_dir):
 
 @query("uncorrelated_features", "F8")
 def uncorrelated_features(spark, sf_dir):
-    features = author_features(spark, sf_dir)
+    features = land(author_features(spark, sf_dir), "features")
     matrix = correlation.correlation_matrix(features, ALL_FEATURES)
     kept = correlation.select_uncorrelated(matrix, ALL_FEATURES)
     return features.select("author", *kept)
