@@ -65,16 +65,12 @@ def num_commit(commits: DataFrame, key: str = "author") -> DataFrame:
 def commit_table(commits: DataFrame, key: str = "author", places: int | None = None) -> DataFrame:
     """All 24 commit features in their fixed order.
 
-    Every aggregate sits in one ``agg``, so nothing is attached by position and the table is
-    shuffled on the author alone. The distinct count makes Spark aggregate by (author, repo)
-    first, which also spreads a single very active author over many tasks.
+    Sums and counts are one ``agg``, combined map-side: an author's commits that lie together leave as one row.
+    Projects are counted beside them from ``(author, repo)`` alone, since a distinct count in that ``agg`` would
+    send all sums once per author and repo. The two sides meet on the author, one row each. ``commits`` is read twice.
     """
-    features = _grouped(commits, key).agg(
-        *_commit_means(places),
-        *_commit_sums(places),
-        F.count_distinct("repo").alias("num_proj"),
-        F.count("commit").alias("num_commit"),
-    )
+    totals = _grouped(commits, key).agg(*_commit_means(places), *_commit_sums(places), F.count("commit").alias("num_commit"))
+    features = totals.join(num_proj(commits, key), key)
     return order_columns(features, key)
 
 
