@@ -54,11 +54,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null and empty texts, repeated rows and rows without an id stay as they are. An empty table gives no rows.
     """
-    docs = pick(docs, **COLUMNS).withColumn("secrets", secrets.secret_spans(F.col("text")))
-    changed = F.size("secrets") > 0
-    text = secrets.redacted(F.col("text"), F.col("secrets"))
-    clean = docs.select("doc_id", text.alias("text"), "lang", "source", "n_chars", changed.alias("changed"))
-    return clean.withColumn("n_chars", F.when(F.col("changed"), F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).drop("changed")
+    docs = pick(docs, **COLUMNS).withColumn("masked", secrets.masked(F.col("text")))
+    length = F.coalesce(F.char_length("masked").cast("bigint"), "n_chars")
+    return docs.select("doc_id", F.coalesce("masked", "text").alias("text"), "lang", "source", length.alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

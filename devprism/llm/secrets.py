@@ -191,6 +191,19 @@ def secret_spans(text: Column, settings: Entropy = Entropy()) -> Column:
     return scan(text)
 
 
+def masked(text: Column, settings: Entropy = Entropy(), mark: str = "[SECRET]") -> Column:
+    """``redacted`` by the spans of ``secret_spans`` in one visit to Python; null where a text has no secrets."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scanner = Scanner(settings)
+        for texts in batches:
+            spans = [[(s, e) for s, _, e in scanner.spans(t)] for t in texts]
+            yield pd.Series([mask(t, found, mark) if found else None for t, found in zip(texts, spans)], dtype="object")
+
+    return run(text)
+
+
 def find_secrets(docs: DataFrame, settings: Entropy = Entropy()) -> DataFrame:
     """``doc_id, secrets`` for each row of ``docs(doc_id, text)``; repeated rows stay, other columns are not read."""
     rows = pick(docs, doc_id="bigint", text="string")
