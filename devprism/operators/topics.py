@@ -42,7 +42,8 @@ def class_tfidf(
     per_term = Window.partitionBy("term")
     spread = {"documents": F.sum("docs").over(per_term), "classes": F.count("*").over(per_term)}
     counts = class_counts(docs).withColumns({"f": F.sum("tf").over(per_term), "df": spread[scope]})
-    counts = counts.filter(F.col("df") >= min_df)
+    # The sizes and their mean read the counts again; written, the terms are counted and sorted once.
+    counts = land(counts.filter(F.col("df") >= min_df), "class_counts")
     sizes = counts.groupBy("topic").agg(F.sum("tf").alias("n"))
     words_per_class = sizes.agg(F.floor(F.avg("n")).cast("double")).scalar()
     f = F.col("f").cast("double")
