@@ -34,3 +34,9 @@ def test_topics_search_then_load(spark, sf_dir):
     assert again.filter("issue_names = 'NEW-1' and topic_prob is not null").count() == 1
     old = {r.doc_id: r.topic for r in first}
     assert all(old.get(r.doc_id, r.topic) == r.topic for r in again.select("doc_id", "topic").collect())
+
+
+def test_clusters_are_searched_over_the_whole_grids():
+    grids = registered.settings()[1]
+    assert len(grids.eps) * len(grids.min_samples) == 126 and len(grids.n_clusters) == 33
+    assert set(grids.matrices) == {"all", "commits"}
